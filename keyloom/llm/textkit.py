@@ -83,10 +83,10 @@ def _pieces(data: np.ndarray, at: np.ndarray, kept: np.ndarray) -> Iterator[tupl
 
 def spans(data: np.ndarray, at: np.ndarray, kept: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Starts, ends and hashes of words, piece by piece; offsets are of ``data``. Words do not cross documents."""
-    letters = _letters()[_LOWER] if lower else _letters()
+    letters, kept = (_letters()[_LOWER], kept[_LOWER]) if lower else (_letters(), kept)
     for lo, hi in _pieces(data, at, kept):
         own = data[lo:hi]
-        inside = kept[_LOWER[own]] if lower else kept[own]
+        inside = kept[own]
         edge = np.zeros(hi - lo + 1, bool)
         between = at[np.searchsorted(at, lo, "right") : np.searchsorted(at, hi)] - lo
         edge[between] = True
