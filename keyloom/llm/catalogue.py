@@ -24,6 +24,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+
+    return report(_read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import classes, digest
 
@@ -63,7 +69,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spans(_read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxscore_search, op2_html_text, op4_minhash_near_dedup, op6_token_counts, op7_language_id, op8_decontaminate, op9_mix_sources, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxscore_search, op2_html_text, op3_line_dedup, op4_minhash_near_dedup, op6_token_counts, op7_language_id, op8_decontaminate, op9_mix_sources, op10_secret_scan)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -79,6 +85,24 @@ s AS (
   FROM e q JOIN e c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op3_line_dedup": f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all({_LOWER.replace("text", "ls[i]")}, '{_SPACED}'))) AS w
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+s AS (SELECT row_number() OVER (ORDER BY f) AS id, w, f FROM (SELECT w, min((doc_id, i)) AS f FROM l WHERE len(w) > 0 GROUP BY w)),
+t AS (SELECT id, unnest(w) AS t, len(w) AS n FROM s),
+c AS (SELECT t, count(*) AS f FROM t GROUP BY t),
+p AS (SELECT id, t, n FROM (SELECT id, t, n, row_number() OVER (PARTITION BY id ORDER BY f, t) AS pos FROM t JOIN c USING (t)) WHERE pos <= n - ceil(0.85 * n - 1e-9) + 1),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.t = b.t AND a.id < b.id),
+m AS (
+  SELECT DISTINCT b FROM pairs JOIN s x ON x.id = a JOIN s y ON y.id = b
+  WHERE len(list_intersect(x.w, y.w)) >= 0.85 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) - 1e-9),
+gone AS (
+  SELECT l.doc_id, l.i FROM l JOIN s USING (w) WHERE s.id IN (SELECT b FROM m) OR (l.doc_id, l.i) <> s.f),
+g AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
+FROM d LEFT JOIN g USING (doc_id)
 """,
     "op8_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
