@@ -88,7 +88,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op3_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all({_LOWER.replace("text", "ls[i]")}, '{_SPACED}'))) AS w
+l AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(lower(ls[i]), '{_SPACED}'))) AS w
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 s AS (SELECT row_number() OVER (ORDER BY f) AS id, w, f FROM (SELECT w, min((doc_id, i)) AS f FROM l WHERE len(w) > 0 GROUP BY w)),
 t AS (SELECT id, unnest(w) AS t, len(w) AS n FROM s),

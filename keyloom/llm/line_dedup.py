@@ -4,9 +4,9 @@ A line is the set of its lower-cased words. Words are ordered by rarity (counts
 order takes a fixed size whatever the vocabulary; any one order gives exact results). Two sets of Jaccard similarity
 THRESHOLD or more share a word among the first n - ceil(THRESHOLD * n) + 1 of each. Lines with equal sets are one set
 from then on, numbered in order of first occurrence. Pairs come from a join on prefix words under the length and
-positional filters; what the prefixes have in common bounds the overlap of the whole, and pairs that stay are
-verified on all words. Words of many prefixes are first joined with the earliest of their sets only: sets that this
-finds matched need no other partner, which spares the pairs within large families of variants.
+positional filters and one by signatures of 64 bits, and are verified on all words. Words of many prefixes are first
+joined with the earliest of their sets only: sets that this finds matched need no other partner, which spares the
+pairs within large families of variants.
 """
 
 from __future__ import annotations
@@ -18,21 +18,22 @@ from .store import Scratch
 
 THRESHOLD = 0.85
 CLASS_BITS = 16
+WORD = r"[^\x20\x09-\x0D]"
 #: Sets of a prefix word from which its earliest set is tried first, and rows up to which a side is broadcast.
 FAMILY, BROADCAST_ROWS = 16, 500_000
-SPACE = r"[\x20\x09-\x0D]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _hashes(text: Column) -> Column:
-    """Hashes of the words, repeats included; of the empty string too where white space leads or trails."""
-    return F.transform(F.split(F.translate(text, _UPPER, _LOWER), SPACE, -1), lambda w: F.xxhash64(w))
+def _words(text: Column) -> Column:
+    """Words of a text, and empty strings where blanks meet; a split at one character needs no pattern."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(F.lower(text), " ", -1)
 
 
 def _ranks(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """One row: ranks by class of hashes, the rarest class first."""
     spark, size = texts.sparkSession, 1 << CLASS_BITS
-    classes = texts.select(F.explode(_hashes(F.col("text"))).alias("h")).select(F.col("h").bitwiseAND(size - 1).alias("c"))
+    classes = texts.select(F.explode(_words(F.col("text"))).alias("w")).select(F.xxhash64("w").bitwiseAND(size - 1).alias("c"))
     counts = classes.groupBy("c").count()
     every = spark.range(size).join(counts, F.col("id") == F.col("c"), "left").select("id", F.coalesce("count", F.lit(0)).alias("n"))
     order = F.transform(F.sort_array(F.collect_list(F.struct("n", "id"))), lambda x: x["id"])
@@ -44,7 +45,7 @@ def _ranks(texts: DataFrame, scratch: Scratch) -> DataFrame:
 def _keys(line: Column, ranks: Column, blank: Column) -> Column:
     """Distinct words of a line by rarity: rank of the class, then the rest of the hash; together the whole hash but a bit."""
     size = (1 << CLASS_BITS) - 1
-    words = F.array_distinct(F.array_remove(_hashes(line), blank))
+    words = F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), blank))
 
     def key(h: Column) -> Column:
         return F.shiftleft(F.get(ranks, h.bitwiseAND(size).cast("int")), 63 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS + 1))
@@ -56,12 +57,12 @@ def _lines(docs: DataFrame, ranks: DataFrame, only: DataFrame | None = None) ->
     """doc_id, text_hash, no (from 1), keys of the lines that have words; ``only``: of those numbered there."""
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     lines = texts.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    lines = lines.select("doc_id", "text_hash", (F.col("no") + 1).alias("no"), "line")
+    lines = lines.select("doc_id", "text_hash", (F.col("no") + 1).alias("no"), "line").where(F.col("line").rlike(WORD))
     if only is not None:
         same = lines["doc_id"].eqNullSafe(only["d"]) & (lines["text_hash"] == only["h"]) & (lines["no"] == only["l"])
         lines = lines.join(only, same, "left_semi")
     lines = lines.withColumn("ranks", ranks.scalar()).withColumn("keys", _keys(F.col("line"), F.col("ranks"), F.xxhash64(F.lit(""))))
-    return lines.select("doc_id", "text_hash", "no", "keys").where(F.size("keys") > 0)
+    return lines.select("doc_id", "text_hash", "no", "keys")
 
 
 def _prefix(n: Column) -> Column:
@@ -88,23 +89,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: DataFra
     return scratch.save(both.where(alike).select("b").distinct(), f"matched-{name}")
 
 
-def _paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of (a.word = b.word, a.set < b.set) that length, position and prefix overlap allow.
+def _signature(keys: Column) -> Column:
+    """A bit of 64 for each word."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
 
-    Nothing is common before the first word that the prefixes share. Of the rest, what is not in both prefixes lies
-    behind the prefix that ends first, in the order of words.
-    """
-    need = F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("a_n") + F.col("b_n")) - 1e-9
-    fits = F.least("a_n", "b_n") >= THRESHOLD * F.greatest("a_n", "b_n") - 1e-9
-    met = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a") < F.col("b")) & fits)
-    shared = met.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"), F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"))
-    rest = F.greatest(F.col("a_n") - _prefix(F.col("a_n")), F.col("b_n") - _prefix(F.col("b_n")))
-    after = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    return shared.where((F.col("shared") + rest >= need) & (after >= need)).select("a", "b")
 
+def _fits(a_n: Column, a_pos: Column, a_sig: Column, b_n: Column, b_pos: Column, b_sig: Column) -> Column:
+    """What length, position and signatures allow of two sets at the first word that their prefixes share.
 
-def _side(postings: DataFrame, name: str) -> DataFrame:
-    return postings.select(F.col("word").alias(f"{name}_word"), F.col("set").alias(name), F.col("n").alias(f"{name}_n"), F.col("pos").alias(f"{name}_pos"))
+    Nothing is common before that word; and a bit that only one set has stands for a word that only it has.
+    """
+    need = F.lit(THRESHOLD / (1 + THRESHOLD)) * (a_n + b_n) - 1e-9
+    after = F.least(a_n - a_pos, b_n - b_pos)
+    common = F.least(a_n - F.bit_count(a_sig.bitwiseAND(F.bitwise_not(b_sig))), b_n - F.bit_count(b_sig.bitwiseAND(F.bitwise_not(a_sig))))
+    return (F.least(a_n, b_n) >= THRESHOLD * F.greatest(a_n, b_n) - 1e-9) & (after >= need) & (common >= need)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -117,29 +115,39 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     ranks = _ranks(docs.select("text").where(F.col("text").isNotNull()), scratch)
     n = F.size("keys")
-    lines = _lines(docs, ranks).select("doc_id", "text_hash", "no", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("t"), n.alias("n"), F.slice("keys", 1, _prefix(n)).alias("prefix"))
+    lines = _lines(docs, ranks).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "no", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("t"),
+        n.alias("n"), _signature(F.col("keys")).alias("sig"), F.slice("keys", 1, _prefix(n)).alias("prefix"),
+    )
     lines = scratch.save(lines, "lines")
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "no")
-    firsts = lines.groupBy("s", "t").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("times")).withColumnsRenamed({"s": "fs", "t": "ft"})
-    own = (F.col("s") == F.col("fs")) & (F.col("t") == F.col("ft")) & (at == F.col("at"))
-    sets = lines.join(firsts, own).dropDuplicates(["s", "t"]).select("s", "t", "at", "times", "n", "prefix").orderBy("at")
-    sets = scratch.save(sets.withColumn("set", F.monotonically_increasing_id()), "sets")
-    postings = sets.select("set", "n", F.posexplode("prefix").alias("pos", "word"))
-    heads = postings.groupBy("word").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("word", "w")
-    postings = scratch.save(postings.join(heads, F.col("word") == F.col("w")).select("word", "set", "n", "pos", "head", F.least("df", F.lit(FAMILY + 1)).cast("int").alias("df")), "postings")
-
-    wide = postings.where(F.col("df") > FAMILY)
-    first = _paired(_side(wide.where("set = head"), "a"), _side(wide.where("set > head"), "b"))
-    first = _verified(first, sets, docs, ranks, scratch, "first")
-    rest = postings.join(_small(first.withColumnRenamed("b", "gone"), first.count()), F.col("set") == F.col("gone"), "left_anti")
-    second = _verified(_paired(_side(postings, "a"), _side(rest, "b")), sets, docs, ranks, scratch, "second")
-    scratch.drop("postings")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "no", "row")
+    firsts = lines.groupBy("s", "t").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("times")).orderBy("at")
+    firsts = scratch.save(firsts.select(F.monotonically_increasing_id().alias("set"), "s", "t", "times", "at"), "firsts")
+    numbered = firsts.select("set", F.col("at.row").alias("own"))
+    sets = scratch.save(lines.join(numbered, F.col("row") == F.col("own")).select("set", "n", "sig", "prefix"), "sets")
+    postings = sets.select("set", "n", "sig", F.posexplode("prefix").alias("pos", "word"))
+
+    wide = postings.groupBy("word").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("df")).where(F.col("df") > FAMILY)
+    wide = scratch.save(wide.select("word", "head"), "wide")
+    heads = wide.join(postings.withColumnsRenamed({"word": "w", "set": "a", "n": "a_n", "sig": "a_sig", "pos": "a_pos"}), (F.col("word") == F.col("w")) & (F.col("head") == F.col("a")))
+    heads = scratch.save(heads.select("w", "a", "a_n", "a_sig", "a_pos"), "heads")
+    near = postings.join(_small(heads, heads.count()), (F.col("word") == F.col("w")) & (F.col("a") < F.col("set")) & _fits(F.col("a_n"), F.col("a_pos"), F.col("a_sig"), F.col("n"), F.col("pos"), F.col("sig")))
+    first = _verified(near.select("a", F.col("set").alias("b")).distinct(), firsts, docs, ranks, scratch, "first")
+
+    # Matched sets are marked by a negative number: both sides of the join are then one exchange.
+    marked = sets.join(_small(first, first.count()), F.col("set") == F.col("b"), "left")
+    marked = marked.select(F.when(F.col("b").isNull(), F.col("set")).otherwise(-1 - F.col("set")).alias("mark"), "n", "sig", F.posexplode("prefix").alias("pos", "word"))
+    x, y = marked.alias("x"), marked.alias("y")
+    own = F.when(F.col("x.mark") < 0, -1 - F.col("x.mark")).otherwise(F.col("x.mark"))
+    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (own < F.col("y.mark")) & _fits(*(F.col(f"{k}.{c}") for k in "xy" for c in ("n", "pos", "sig"))))
+    second = _verified(met.select(own.alias("a"), F.col("y.mark").alias("b")).distinct(), firsts, docs, ranks, scratch, "second")
 
     matched = first.unionByName(second).distinct()
-    flagged = sets.select("set", "s", "t", "at", "times").join(matched, F.col("set") == F.col("b"), "left").where((F.col("times") > 1) | F.col("b").isNotNull())
+    flagged = firsts.join(matched, F.col("set") == F.col("b"), "left").where((F.col("times") > 1) | F.col("b").isNotNull())
     flagged = flagged.select(F.col("s").alias("fs"), F.col("t").alias("ft"), F.col("at").alias("first"), F.col("b").isNotNull().alias("matched"))
     out = lines.select("doc_id", "text_hash", "no", "s", "t").join(flagged, (F.col("s") == F.col("fs")) & (F.col("t") == F.col("ft")))
-    return out.where(F.col("matched") | (at != F.col("first"))).select("doc_id", "text_hash", "no").distinct()
+    again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("no") == F.col("first.no")))
+    return out.where(F.col("matched") | again).select("doc_id", "text_hash", "no").distinct()
 
 
 def _with_removed(docs: DataFrame) -> tuple[DataFrame, DataFrame, Column]:

@@ -5,7 +5,7 @@ from keyloom.llm import line_dedup
 
 
 def words(line):
-    return frozenset(re.findall(rb"[^\x20\x09-\x0D]+", line.encode().lower()))
+    return frozenset(re.findall(r"[^\x20\x09-\x0D]+", line.lower()))
 
 
 def brute(docs):
