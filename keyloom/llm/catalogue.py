@@ -36,6 +36,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(classes(_read(spark, sf_dir, "documents")))
 
 
+def op5_class_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import scores
+
+    return scores(_read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import VOCABULARY, count_tokens, tiktoken_pieces
 
@@ -69,7 +75,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spans(_read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxscore_search, op2_html_text, op3_line_dedup, op4_minhash_near_dedup, op6_token_counts, op7_language_id, op8_decontaminate, op9_mix_sources, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxscore_search, op2_html_text, op3_line_dedup, op4_minhash_near_dedup, op5_class_model_scores, op6_token_counts, op7_language_id, op8_decontaminate, op9_mix_sources, op10_secret_scan)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACED = r"[^\x20\x09-\x0D]+"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of plans that nothing refers to any more, which it finds by garbage
+        collection only."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             path, fs = _path(self.spark, f"{self.root}/{name}")
