@@ -21,6 +21,8 @@ CLASS_BITS = 16
 WORD = r"[^\x20\x09-\x0D]"
 #: Sets of a prefix word from which its earliest set is tried first, and rows up to which a side is broadcast.
 FAMILY, BROADCAST_ROWS = 16, 500_000
+#: Words of the lines to verify up to which these are broadcast, eight bytes each.
+BROADCAST_WORDS = 8_000_000
 
 
 def _words(text: Column) -> Column:
@@ -76,6 +78,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """b (number of the later set) of the pairs (a, b) that are similar on all words."""
     pairs = scratch.save(pairs, f"pairs-{name}")
+    scratch.tidy()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = scratch.save(sets.join(ids, sets["set"] == ids["id"], "left_semi").select("set", "at.*"), f"held-{name}")
     n = held.count()
@@ -83,7 +86,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: DataFra
     full = _lines(docs, ranks, _small(only, n)).distinct()
     same = held["doc_id"].eqNullSafe(full["doc_id"]) & (held["text_hash"] == full["text_hash"]) & (held["no"] == full["no"])
     full = scratch.save(full.join(_small(held, n), same).select("set", "keys"), f"full-{name}")
-    both = pairs.join(full.select(F.col("set").alias("a"), F.col("keys").alias("x")), "a").join(full.select(F.col("set").alias("b"), F.col("keys").alias("y")), "b")
+    scratch.tidy()
+    words = full.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    sides = [full.select(F.col("set").alias(k), F.col("keys").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+    if words <= BROADCAST_WORDS:
+        sides = [F.broadcast(x) for x in sides]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = common >= THRESHOLD * (F.size("x") + F.size("y") - common) - 1e-9
     return scratch.save(both.where(alike).select("b").distinct(), f"matched-{name}")
@@ -120,17 +128,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         n.alias("n"), _signature(F.col("keys")).alias("sig"), F.slice("keys", 1, _prefix(n)).alias("prefix"),
     )
     lines = scratch.save(lines, "lines")
+    scratch.tidy()
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "no", "row")
     firsts = lines.groupBy("s", "t").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("times")).orderBy("at")
     firsts = scratch.save(firsts.select(F.monotonically_increasing_id().alias("set"), "s", "t", "times", "at"), "firsts")
     numbered = firsts.select("set", F.col("at.row").alias("own"))
     sets = scratch.save(lines.join(numbered, F.col("row") == F.col("own")).select("set", "n", "sig", "prefix"), "sets")
+    scratch.tidy()
     postings = sets.select("set", "n", "sig", F.posexplode("prefix").alias("pos", "word"))
 
     wide = postings.groupBy("word").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("df")).where(F.col("df") > FAMILY)
     wide = scratch.save(wide.select("word", "head"), "wide")
     heads = wide.join(postings.withColumnsRenamed({"word": "w", "set": "a", "n": "a_n", "sig": "a_sig", "pos": "a_pos"}), (F.col("word") == F.col("w")) & (F.col("head") == F.col("a")))
     heads = scratch.save(heads.select("w", "a", "a_n", "a_sig", "a_pos"), "heads")
+    scratch.tidy()
     near = postings.join(_small(heads, heads.count()), (F.col("word") == F.col("w")) & (F.col("a") < F.col("set")) & _fits(F.col("a_n"), F.col("a_pos"), F.col("a_sig"), F.col("n"), F.col("pos"), F.col("sig")))
     first = _verified(near.select("a", F.col("set").alias("b")).distinct(), firsts, docs, ranks, scratch, "first")
 
@@ -142,6 +153,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     met = x.join(y, (F.col("x.word") == F.col("y.word")) & (own < F.col("y.mark")) & _fits(*(F.col(f"{k}.{c}") for k in "xy" for c in ("n", "pos", "sig"))))
     second = _verified(met.select(own.alias("a"), F.col("y.mark").alias("b")).distinct(), firsts, docs, ranks, scratch, "second")
 
+    scratch.drop("sets")
     matched = first.unionByName(second).distinct()
     flagged = firsts.join(matched, F.col("set") == F.col("b"), "left").where((F.col("times") > 1) | F.col("b").isNotNull())
     flagged = flagged.select(F.col("s").alias("fs"), F.col("t").alias("ft"), F.col("at").alias("first"), F.col("b").isNotNull().alias("matched"))

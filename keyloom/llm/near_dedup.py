@@ -293,6 +293,7 @@ def classes(docs: DataFrame) -> DataFrame:
     heads = grouped.select(F.col("root").alias("row"), F.col("root").alias("group")).distinct()
     grouped = scratch.save(grouped.select(F.col("node").alias("row"), F.col("root").alias("group")).unionByName(heads), "grouped")
     scratch.drop("members")
+    scratch.tidy()
 
     sized = grouped.join(nodes.select("row", "n_shingles"), "row")
     blocks = sized.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
