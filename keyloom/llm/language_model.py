@@ -24,7 +24,9 @@ from .store import Scratch
 
 MIN_COUNT, CLASSES, ROUNDS, CONTEXTS = 64, 64, 8, 256
 #: Tokens of a chunk: about what a task reads, so that word lists repeat little.
-CHUNK = 5_000_000
+CHUNK = 4_000_000
+#: Tokens that passes over chunks look at in one go.
+SLICE = 1 << 20
 #: Weight of the class model, and smoothing of its transitions and of the unigrams.
 WEIGHT, TRANSITION, UNIGRAM = 0.85, 0.5, 0.1
 RARE = MIN_COUNT.bit_length() - 1
@@ -157,19 +159,23 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, sizes, codes, words, totals in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             held, sizes, codes = _unpacked(held, bool), _unpacked(sizes, np.uint32), _unpacked(codes, np.uint32)
             words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
-            codes = codes[np.repeat(~held, sizes)].astype(np.int64)
-            if not len(codes):
-                continue
-            ctx = contexts(words, totals)
+            codes = codes[np.repeat(~held, sizes)]
+            ctx = contexts(words, totals).astype(np.int16)
             often = (totals >= MIN_COUNT) & (words != END)
             rank = np.cumsum(often) - 1
-            each = ctx[codes]
-            before = np.concatenate([[CONTEXTS - 1], each[:-1]])  # a text follows the end of the one before
-            mine = often[codes]
-            own = rank[codes[mine]] * (2 * CONTEXTS)
-            after = np.concatenate([each[1:], [CONTEXTS - 1]])
-            key, n = np.unique(np.concatenate([own + before[mine], own + CONTEXTS + after[mine]]), return_counts=True)
-            yield from _vector_rows(words[often].view(np.int64), key, n)
+            keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo in range(0, len(codes), SLICE):
+                hi = min(lo + SLICE, len(codes))
+                each = np.full(hi - lo + 2, CONTEXTS - 1)  # a text follows the end of the one before
+                each[int(lo == 0) : hi - lo + 2 - int(hi == len(codes))] = ctx[codes[max(0, lo - 1) : hi + 1]]
+                mine = often[codes[lo:hi]]
+                own = rank[codes[lo:hi][mine]] * (2 * CONTEXTS)
+                key, n = np.unique(np.concatenate([own + each[:-2][mine], own + CONTEXTS + each[2:][mine]]), return_counts=True)
+                keys.append(key)
+                counts.append(n)
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            if len(key):
+                yield from _vector_rows(words[often].view(np.int64), key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64))
 
 
 def _vector_rows(words: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -284,10 +290,20 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "classes"])
 
 
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of texts and of their tokens, of about SLICE tokens; longer texts are slices of their own."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    first, begin = 0, 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, begin + SLICE, "right")))
+        yield first, last, begin, int(ends[last - 1])
+        first, begin = last, int(ends[last - 1])
+
+
 def _steps(classes: np.ndarray) -> np.ndarray:
     """Transitions before * ALL_CLASSES + own of each token; texts begin after an end."""
     before = np.concatenate([[END_CLASS], classes[:-1]])
-    return before.astype(np.int64) * ALL_CLASSES + classes
+    return before.astype(np.int32) * ALL_CLASSES + classes
 
 
 def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +311,10 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for held, sizes, codes, classes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             held, sizes = _unpacked(held, bool), _unpacked(sizes, np.uint32)
-            each = _unpacked(classes, np.uint8)[_unpacked(codes, np.uint32)]
-            table += np.bincount(_steps(each)[np.repeat(~held, sizes)], minlength=len(table))
+            classes, codes = _unpacked(classes, np.uint8), _unpacked(codes, np.uint32)
+            for first, last, lo, hi in _slices(sizes):
+                own = _steps(classes[codes[lo:hi]])[np.repeat(~held[first:last], sizes[first:last])]
+                table += np.bincount(own, minlength=len(table))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), pa.array(table)], ["at", "n"])
 
 
@@ -314,16 +332,16 @@ def _scored(steps: np.ndarray, tokens: int, types: int, once: int, twice: int):
                 base = (totals + UNIGRAM) / (tokens + UNIGRAM * (types + 1))
                 emitted = totals / np.maximum(of_class[classes], 1)
                 emitted = np.where(classes == CLASSES, np.where(totals > 0, (1 - unseen) * emitted, unseen), emitted)
-                each = classes[codes]
-                p = WEIGHT * chance.ravel()[_steps(each)] * emitted[codes] + (1 - WEIGHT) * base[codes]
-                if not tokens:
-                    p = base[codes]
-                starts = np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)])
-                sums = [np.add.reduceat(x, starts) for x in (np.log10(base)[codes], np.log10(p), (totals > 0)[codes].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(
-                    [keys.values, pa.array(held), pa.array(sizes.astype(np.int64)), pa.array(sums[2]), pa.array(np.full(len(sizes), tokens)), pa.array(sums[0]), pa.array(sums[1])],
-                    ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                logs = np.log10(base)
+                for first, last, lo, hi in _slices(sizes):
+                    own, n = codes[lo:hi], sizes[first:last].astype(np.int64)
+                    p = WEIGHT * chance.ravel()[_steps(classes[own])] * emitted[own] + (1 - WEIGHT) * base[own] if tokens else base[own]
+                    starts = np.cumsum(n) - n
+                    known, low, high = (np.add.reduceat(x, starts) for x in ((totals > 0)[own].astype(np.int64), logs[own], np.log10(p)))
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.values.slice(first, last - first), pa.array(held[first:last]), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(low), pa.array(high)],
+                        ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
 
     return run
 
