@@ -88,7 +88,7 @@ def murmur64_bytes(keys: list[bytes], seed: int) -> np.ndarray:
 def _murmur_udf(seed: int) -> Callable[[Column], Column]:
     @F.pandas_udf(T.LongType())
     def hashed(keys: pd.Series) -> pd.Series:
-        return pd.Series(murmur64_bytes([bytes(x) for x in keys], seed).view(np.int64))
+        return pd.Series(murmur64_bytes([b"" if x is None else bytes(x) for x in keys], seed).view(np.int64)).where(keys.notna())
 
     return hashed
 
