@@ -21,8 +21,8 @@ CLASS_BITS = 16
 WORD = r"[^\x20\x09-\x0D]"
 #: Sets of a prefix word from which its earliest set is tried first, and rows up to which a side is broadcast.
 FAMILY, BROADCAST_ROWS = 16, 500_000
-#: Words of the lines to verify up to which these are broadcast, eight bytes each.
-BROADCAST_WORDS = 8_000_000
+#: Words of 64 bits of the wide signatures that candidates are compared by before all their words are.
+WIDE = 8
 
 
 def _words(text: Column) -> Column:
@@ -87,14 +87,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: DataFra
     same = held["doc_id"].eqNullSafe(full["doc_id"]) & (held["text_hash"] == full["text_hash"]) & (held["no"] == full["no"])
     full = scratch.save(full.join(_small(held, n), same).select("set", "keys"), f"full-{name}")
     scratch.tidy()
-    words = full.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    sides = [full.select(F.col("set").alias(k), F.col("keys").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
-    if words <= BROADCAST_WORDS:
-        sides = [F.broadcast(x) for x in sides]
+    wide = full.select("set", F.size("keys").alias("n"), *[_signature(F.filter("keys", _word_of(i))).alias(f"w{i}") for i in range(WIDE)])
+    wide = scratch.save(wide, f"wide-{name}")
+    sides = [_small(wide.select(*[F.col(c).alias(k if c == "set" else f"{k}_{c}") for c in wide.columns]), n) for k in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = common >= THRESHOLD * (F.size("x") + F.size("y") - common) - 1e-9
-    return scratch.save(both.where(alike).select("b").distinct(), f"matched-{name}")
+
+    def apart(k: str, other: str) -> Column:
+        return F.col(f"{k}_n") - sum(F.bit_count(F.col(f"{k}_w{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}_w{i}")))) for i in range(WIDE))
+
+    bound = F.least(apart("a", "b"), apart("b", "a"))
+    need = F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    fits = scratch.save(both.withColumn("bound", bound).where(F.col("bound") >= need).select("a", "b", "bound"), f"fits-{name}")
+
+    def confirmed(some: DataFrame, step: str) -> DataFrame:
+        x, y = (full.select(F.col("set").alias(k), F.col("keys").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        held = some.join(x, "a").join(y, "b")
+        common = F.size(F.array_intersect("x", "y"))
+        alike = common >= THRESHOLD * (F.size("x") + F.size("y") - common) - 1e-9
+        return scratch.save(held.where(alike).select("b").distinct(), f"matched-{step}-{name}")
+
+    # One partner is enough for a set, and mostly the likeliest is one; only where it is not, the others are tried.
+    best = fits.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("m"))
+    some = confirmed(best.select("b", F.col("m.a").alias("a")), "best")
+    left = fits.join(_small(some.withColumnRenamed("b", "gone"), some.count()), F.col("b") == F.col("gone"), "left_anti")
+    left = left.join(best.select(F.col("b").alias("tried"), F.col("m.a").alias("with")), (F.col("b") == F.col("tried")) & (F.col("a") == F.col("with")), "left_anti")
+    rest = confirmed(left.select("a", "b"), "rest")
+    scratch.tidy()
+    return some.unionByName(rest)
+
+
+def _word_of(i: int):
+    return lambda k: F.shiftright(k, 6).bitwiseAND(WIDE - 1) == i
 
 
 def _signature(keys: Column) -> Column:
