@@ -39,6 +39,7 @@ HEADINGS = _names("h1 h2 h3 h4 h5 h6")
 SCOPE = _names("html body table td th caption template object marquee applet")
 CELLS = _names("td th")
 GROUPS = _names("thead tbody tfoot")
+FORMATTING = _names("a b big code em font i nobr s small strike strong tt u")
 IN_HEAD = _names("base link meta title style script noscript template")
 #: What a start tag closes, and the elements beyond which it does not look.
 IMPLIED = {
@@ -161,21 +162,21 @@ class Renderer:
         self.flows: list[Out] = []
         self.tables: list[Table] = []
         self.lists: list[list] = []
-        self.shut: list[int] = []
+        self.shut: list[bool] = []  # of each open element, whether it shows its summary alone
 
     def open(self, name: str, attrs: dict[str, str]) -> dict:
         """What close needs. attrs: only asked for if there are any."""
         state = {"name": name, "hidden": self.hidden}
         style = attrs.get("style")
-        if name in UNSEEN or "hidden" in attrs and attrs["hidden"] != "until-found" or style and HIDING.search(style) or name == "dialog" and "open" not in attrs:
+        closed = name == "details" and "open" not in attrs
+        if name == "summary" and self.shut and self.shut[-1]:
+            self.hidden -= 1
+        elif name in UNSEEN or "hidden" in attrs and attrs["hidden"] != "until-found" or style and HIDING.search(style) or name == "dialog" and "open" not in attrs:
             self.hidden += 1
-        elif self.shut and name != "summary" and self.shut[-1] == 1:
-            self.hidden += 1
-        if name == "details":
-            self.shut.append(0 if "open" in attrs else 1)
-        elif self.shut:
-            self.shut.append(0)
-        if self.hidden:
+        self.shut.append(closed)
+        state["seen"] = not self.hidden
+        self.hidden += closed
+        if not state["seen"]:
             return state
         out = self.out
         if name == "br":
@@ -217,11 +218,10 @@ class Renderer:
         return state
 
     def close(self, state: dict) -> None:
-        name, seen = state["name"], not self.hidden
+        name = state["name"]
         self.hidden = state["hidden"]
-        if self.shut:
-            self.shut.pop()
-        if not seen:
+        self.shut.pop()
+        if not state["seen"]:
             return
         if "spans" in state:
             lines, self.out = self.out.text(), self.flows.pop()
@@ -288,6 +288,29 @@ class TreeBuilder:
                 self._pop()
             self._pop()
 
+    def _past_blocks(self, name: str) -> bool:
+        """Whether an inline element's end stands inside a block that began in it. The block stays open; a formatting
+        element that shows is taken out from under it, any other stays too."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            state = self.stack[i]
+            if state["name"] == name:
+                return False
+            if state["name"] in BLOCK:
+                break
+        else:
+            return True
+        if name in FORMATTING:
+            for j in range(i - 1, -1, -1):
+                state = self.stack[j]
+                if state["name"] == name:
+                    if state["seen"]:
+                        del self.stack[j]
+                        del self.to.shut[j]
+                    break
+                if state["name"] in SCOPE:
+                    break
+        return True
+
     def start(self, name: str, attrs: dict[str, str]) -> None:
         if name in ("html", "body", "head"):
             if name != "html" and any(x["name"] == "head" for x in self.stack):
@@ -322,6 +345,8 @@ class TreeBuilder:
         elif name in HEADINGS:
             self._close(HEADINGS, SCOPE) if self._within(HEADINGS, SCOPE) else None
         elif name not in ("html", "body"):
+            if name not in BLOCK and self._past_blocks(name):
+                return
             bounds = _names("html table template") if name in CELLS | GROUPS | {"tr", "caption"} else _names("html template") if name == "table" else SCOPE - {name}
             if self._within(frozenset([name]), bounds):
                 while self.stack[-1]["name"] != name:
