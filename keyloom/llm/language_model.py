@@ -137,11 +137,6 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_packed(totals)], pa.binary()), *(pa.array([c], pa.int64()) for c in counts)], ["c", "totals", "types", "once", "twice"])
 
 
-def _classes_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk, place, value in _by_chunk(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_packed(place.astype(np.uint32))], pa.binary()), pa.array([_packed(value.astype(np.uint8))], pa.binary())], ["c", "places", "classes"])
-
-
 def rare_class(totals: np.ndarray) -> np.ndarray:
     """Classes of words seen less than MIN_COUNT times, by powers of two; unseen ones with those seen once."""
     return CLASSES + np.floor(np.log2(np.clip(totals, 1, MIN_COUNT - 1))).astype(np.int64)
@@ -153,29 +148,52 @@ def contexts(words: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return np.where(words == END, CONTEXTS - 1, own)
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each chunk, word and context counts (place * 2 * CONTEXTS + context; those after come second) in training."""
-    for batch in batches:
-        for held, sizes, codes, words, totals in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            held, sizes, codes = _unpacked(held, bool), _unpacked(sizes, np.uint32), _unpacked(codes, np.uint32)
-            words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
-            codes = codes[np.repeat(~held, sizes)]
-            ctx = contexts(words, totals).astype(np.int16)
-            often = (totals >= MIN_COUNT) & (words != END)
-            rank = np.cumsum(often) - 1
-            keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo in range(0, len(codes), SLICE):
-                hi = min(lo + SLICE, len(codes))
-                each = np.full(hi - lo + 2, CONTEXTS - 1)  # a text follows the end of the one before
-                each[int(lo == 0) : hi - lo + 2 - int(hi == len(codes))] = ctx[codes[max(0, lo - 1) : hi + 1]]
-                mine = often[codes[lo:hi]]
-                own = rank[codes[lo:hi][mine]] * (2 * CONTEXTS)
-                key, n = np.unique(np.concatenate([own + each[:-2][mine], own + CONTEXTS + each[2:][mine]]), return_counts=True)
-                keys.append(key)
-                counts.append(n)
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            if len(key):
-                yield from _vector_rows(words[often].view(np.int64), key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64))
+def _often(words: np.ndarray, totals: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the frequent words of a chunk in order of slices of the vocabulary, and where the slices begin."""
+    at = np.flatnonzero((totals >= MIN_COUNT) & (words != END))
+    own = (textkit.mixed(words[at] + textkit.U(1)) % textkit.U(slices)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    return at[order], np.searchsorted(own[order], np.arange(slices + 1))
+
+
+def _vectors(slices: int):
+    """Of each chunk and slice of the vocabulary, in training texts: words, keys (rank in the slice * 2 * CONTEXTS +
+    context; those after a word come second) and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                yield from _chunk_vectors(slices, *packed)
+
+    return run
+
+
+def _chunk_vectors(slices: int, held: bytes, sizes: bytes, codes: bytes, words: bytes, totals: bytes) -> Iterator[pa.RecordBatch]:
+    held, sizes, codes = _unpacked(held, bool), _unpacked(sizes, np.uint32), _unpacked(codes, np.uint32)
+    words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
+    codes = codes[np.repeat(~held, sizes)]
+    ctx = contexts(words, totals).astype(np.int16)
+    at, begins = _often(words, totals, slices)
+    rank = np.full(len(words), -1)
+    rank[at] = np.arange(len(at))
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(codes), SLICE):
+        hi = min(lo + SLICE, len(codes))
+        each = np.full(hi - lo + 2, CONTEXTS - 1)  # a text follows the end of the one before
+        each[int(lo == 0) : hi - lo + 2 - int(hi == len(codes))] = ctx[codes[max(0, lo - 1) : hi + 1]]
+        own = rank[codes[lo:hi]]
+        mine = own >= 0
+        own = own[mine] * (2 * CONTEXTS)
+        key, n = np.unique(np.concatenate([own + each[:-2][mine], own + CONTEXTS + each[2:][mine]]), return_counts=True)
+        keys.append(key)
+        counts.append(n)
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(back, weights=np.concatenate(counts), minlength=len(key)).astype(np.uint32)
+    cuts = np.searchsorted(key, begins * (2 * CONTEXTS))
+    for i in np.flatnonzero(np.diff(begins)).tolist():
+        own = slice(cuts[i], cuts[i + 1])
+        packed = _packed(words[at[begins[i] : begins[i + 1]]]), _packed((key[own] - begins[i] * 2 * CONTEXTS).astype(np.uint32)), _packed(n[own])
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["slice", "words", "keys", "counts"])
 
 
 def _vector_rows(words: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -201,27 +219,83 @@ def _flat(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each word, from rows sorted by word."""
-    rest: list[pa.RecordBatch] = []
+    """One row for each word, from rows sorted by slice; a slice is added up at a time."""
+
+    def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        words = [_unpacked(p[0], np.uint64) for p in parts]
+        own, back = np.unique(np.concatenate(words), return_inverse=True)
+        keys, counts, first = [], [], 0
+        for w, p in zip(words, parts, strict=True):
+            key = _unpacked(p[1], np.uint32).astype(np.int64)
+            keys.append(back[first : first + len(w)][key // (2 * CONTEXTS)] * (2 * CONTEXTS) + key % (2 * CONTEXTS))
+            counts.append(_unpacked(p[2], np.uint32))
+            first += len(w)
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        if len(key):
+            yield from _vector_rows(own.view(np.int64), key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64))
+
+    now, parts = None, []
+    for batch in batches:
+        for number, *packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if number != now and parts:
+                yield from emit(parts)
+                parts = []
+            now = number
+            parts.append(tuple(packed))
+    if parts:
+        yield from emit(parts)
 
-    def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, row, place, count = _flat(pa.Table.from_batches(parts))
-        own, back = np.unique(words, return_inverse=True)
-        key, at = np.unique(back[row] * (2 * CONTEXTS) + place, return_inverse=True)
-        yield from _vector_rows(own, key, np.bincount(at, weights=count, minlength=len(key)).astype(np.int64))
 
+def _often_of_chunks(slices: int):
+    """Of each chunk and slice: slice, chunk, the frequent words and their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, words, totals in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
+                at, begins = _often(words, totals, slices)
+                for i in np.flatnonzero(np.diff(begins)).tolist():
+                    own = at[begins[i] : begins[i + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([number], pa.int64()), pa.array([_packed(words[own])], pa.binary()), pa.array([_packed(own.astype(np.uint32))], pa.binary())], ["slice", "chunk", "words", "places"])
+
+    return run
+
+
+def _classes_of_words(slices: int):
+    """Slices of the vocabulary with the classes of their words; chunk -1 sorts them before the chunks that ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, classes = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            own = (textkit.mixed(words + textkit.U(1)) % textkit.U(slices)).astype(np.int32)
+            for i in np.unique(own).tolist():
+                mine = own == i
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([-1], pa.int64()), pa.array([_packed(words[mine])], pa.binary()), pa.array([_packed(classes[mine].astype(np.uint32))], pa.binary())], ["slice", "chunk", "words", "places"])
+
+    return run
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, places and classes, from rows sorted by slice and chunk."""
+    now, known, table = None, [], None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        words = batch.column(0).to_numpy()
-        first = int(np.searchsorted(words, words[-1]))
-        if first:
-            yield from emit([*rest, batch.slice(0, first)])
-            rest = [batch.slice(first)]
-        else:
-            rest.append(batch)
-    if rest:
-        yield from emit(rest)
+        out: list[tuple] = []
+        for number, chunk, words, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if number != now:
+                now, known, table = number, [], None
+            if chunk < 0:
+                known.append((_unpacked(words, np.uint64), _unpacked(places, np.uint32)))
+                continue
+            if table is None:
+                w, c = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+                order = np.argsort(w)
+                table = w[order], c[order]
+            own = _unpacked(words, np.uint64)
+            if len(table[0]):
+                at = np.minimum(np.searchsorted(table[0], own), len(table[0]) - 1)
+                there = table[0][at] == own  # every frequent word has a vector
+                out.append((chunk, _packed(_unpacked(places, np.uint32)[there]), _packed(table[1][at[there]].astype(np.uint8))))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2))], ["c", "places", "classes"])
 
 
 def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +357,8 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, totals, places, classes in zip(*(batch.column(c).to_pylist() for c in ("words", "totals", "places", "classes")), strict=True):
             words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
             own = np.where(words == END, END_CLASS, rare_class(totals))
-            if places is not None:
-                own[_unpacked(places, np.uint32)] = _unpacked(classes, np.uint8)
+            for at, what in zip(places or [], classes or [], strict=True):
+                own[_unpacked(at, np.uint32)] = _unpacked(what, np.uint8)
             out.append(_packed(own.astype(np.uint8)))
         columns = ["keys", "held", "sizes", "codes", "totals"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "classes"])
@@ -374,17 +448,19 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     types, once, twice = (x or 0 for x in totals.agg(F.sum("types"), F.sum("once"), F.sum("twice")).first())
     counted = encoded.join(totals.select("c", "totals"), F.col("chunk") == F.col("c"))
     counted = scratch.save(counted.select("chunk", "keys", "held", "sizes", "codes", "words", "totals"), "counted")
-    scratch.drop("encoded", "totals")
+    scratch.drop("encoded")
     scratch.tidy()
 
-    vectors = counted.select("held", "sizes", "codes", "words", "totals").mapInArrow(_vectors, "word long, places array<short>, counts array<long>")
-    vectors = vectors.repartition("word").sortWithinPartitions("word").mapInArrow(_summed, "word long, places array<short>, counts array<long>")
+    slices = max(12, -(-totals.count() // 2))  # of the vocabulary: what a task adds up stays as large as a few chunks
+    vectors = counted.select("held", "sizes", "codes", "words", "totals").mapInArrow(_vectors(slices), "slice int, words binary, keys binary, counts binary")
+    vectors = vectors.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed, "word long, places array<short>, counts array<long>")
     vectors = scratch.save(vectors, "vectors")
     scratch.tidy()
-    assigned = scratch.save(cluster(vectors), "assigned")
-    often = counted.select("chunk", "words", "totals").mapInArrow(_often_rows, "w long, at long")
-    placed = often.join(assigned, F.col("w") == F.col("word")).select("at", "class").repartition(chunk).sortWithinPartitions("at")
-    placed = scratch.save(placed.mapInArrow(_classes_of_chunks, "c long, places binary, classes binary"), "placed")
+    row = "slice int, chunk long, words binary, places binary"
+    known = cluster(vectors).mapInArrow(_classes_of_words(slices), row)
+    asked = counted.select("chunk", "words", "totals").mapInArrow(_often_of_chunks(slices), row)
+    placed = known.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "chunk").mapInArrow(_looked_up, "c long, places binary, classes binary")
+    placed = scratch.save(placed.groupBy("c").agg(F.collect_list(F.struct("places", "classes")).alias("x")).select("c", "x.places", "x.classes"), "placed")
     classed = counted.join(placed, F.col("chunk") == F.col("c"), "left")
     classed = scratch.save(classed.mapInArrow(_classed, f"keys array<{kind}>, {parts}, totals binary, classes binary"), "classed")
     scratch.drop("counted", "vectors")
@@ -398,13 +474,3 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     out = classed.mapInArrow(_scored(steps, int(steps.sum()), int(types), int(once), int(twice)), schema)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select("key.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", perplexity.alias("perplexity"))
-
-
-def _often_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for number, words, totals in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64)
-            at = np.flatnonzero((totals >= MIN_COUNT) & (words != END))
-            for lo in range(0, len(at), 100_000):
-                own = at[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(words[own].view(np.int64)), pa.array(own + (number << PLACE_BITS))], ["w", "at"])

@@ -74,7 +74,7 @@ def test_clusters_follow_contexts(spark):
     words, codes = np.unique(tokens, return_inverse=True)
     totals = np.bincount(codes).astype(np.uint64)
     batch = pa.RecordBatch.from_arrays([pa.array([lm._packed(x)]) for x in (np.zeros(300, bool), (np.diff(at) + 1).astype(np.uint32), codes.astype(np.uint32), words, totals)], list("abcde"))
-    rows = [r for b in lm._vectors(iter([batch])) for r in b.to_pylist()]
+    rows = [r for b in lm._summed(lm._vectors(3)(iter([batch]))) for r in b.to_pylist()]
     df = spark.createDataFrame([(r["word"], r["places"], r["counts"]) for r in rows], "word long, places array<short>, counts array<long>")
     classes = {r.word: r["class"] for r in lm.cluster(df).collect()}
     kinds = {k: {classes[int(lm.textkit.words(pa.array([f"{k}{i}"]))[0].view(np.int64)[0])] for i in range(6)} for k in "ab"}
