@@ -109,6 +109,38 @@ gone AS (
 g AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS removed FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
 FROM d LEFT JOIN g USING (doc_id)
+""",
+    "op4_minhash_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+g AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN w ON w.r = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM w LEFT JOIN n USING (r) JOIN g ON g.a = w.r
+""",
+    "op9_mix_sources": f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+q AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+k AS (
+  SELECT d.*, -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
+    / CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 1.0 ELSE 1.5 END AS key
+  FROM d LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY 1),
+w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w, 3.0::DOUBLE * source_size AS cap FROM s),
+v AS (
+  SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER up, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER up, 0)) AS level
+  FROM w WINDOW up AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT level FROM v WHERE level * w <= cap ORDER BY cap / w, level LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM a) * w), cap)::DOUBLE AS target FROM v),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+f AS (
+  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN size > 0 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f
 """,
     "op8_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
