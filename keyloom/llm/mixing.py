@@ -21,7 +21,7 @@ GOOD_WEIGHT, POOR_WEIGHT, PLAIN_WEIGHT = 2.0, 1.0, 1.5
 LEAST_WEIGHT = 1.0
 MOST_EPOCHS = 3
 #: Rows that a bin of keys has on the average, and sources up to which the cuts are broadcast.
-ROWS_A_BIN, BROADCAST_SOURCES = 20_000, 100_000
+ROWS_A_BIN, BROADCAST_SOURCES = 2_000, 100_000
 
 
 def n_words(text: Column) -> Column:
