@@ -454,13 +454,14 @@ def distinct_keys_generator(spark: SparkSession, sf: str) -> DataFrame:
     return one.join(two, F.col("key") == F.col("other"), "left").agg(F.count("key").alias("n"), F.countDistinct("key").alias("n_distinct"), (F.count("other") == F.count("key")).alias("same_again"))
 
 
-@_query("SELECT l_orderkey AS key, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1")
+@_query("SELECT l_orderkey AS key, count(*) AS lines, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS DOUBLE) / 10000 AS revenue FROM lineitem GROUP BY 1")
 def dict_revenue(spark: SparkSession, sf: str) -> DataFrame:
     """Dictionary-encodes order keys, sums revenue by code, and decodes the codes."""
     keys = _orders(spark, sf)
     index = build_partitioned(keys, "key", _config("partitioned"))
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_extendedprice", "l_discount")
-    coded = index.lookup(lines, "l_orderkey", "code").groupBy("code").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    exact = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))  # no rounding by order
+    coded = index.lookup(lines, "l_orderkey", "code").groupBy("code").agg(F.count(F.lit(1)).alias("lines"), (F.sum(exact).cast("double") / 10000).alias("revenue"))
     return coded.join(index.verified(keys, "key"), F.col("code") == F.col("position")).select("key", "lines", "revenue")
 
 
