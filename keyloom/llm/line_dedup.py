@@ -4,7 +4,7 @@ A line is the set of its lower-cased words. Words are ordered by rarity (counts
 order takes a fixed size whatever the vocabulary; any one order gives exact results). Two sets of Jaccard similarity
 THRESHOLD or more share a word among the first n - ceil(THRESHOLD * n) + 1 of each. Lines with equal sets are one set
 from then on, numbered in order of first occurrence. Pairs come from a join on prefix words under the length and
-positional filters and one by signatures of prefixes in 64 bits, and are verified on all words. Words of many prefixes are first
+positional filters and one by signatures of 64 bits, and are verified on all words. Words of many prefixes are first
 joined with the earliest of their sets only: sets that this finds matched need no other partner, which spares the
 pairs within large families of variants.
 """
@@ -21,6 +21,8 @@ CLASS_BITS = 16
 WORD = r"[^\x20\x09-\x0D]"
 #: Sets of a prefix word from which its earliest set is tried first, and rows up to which a side is broadcast.
 FAMILY, BROADCAST_ROWS = 16, 500_000
+#: Words of a line beyond which its signature is of the prefix.
+LONG = 80
 #: Words of 64 bits of the wide signatures that candidates are compared by before all their words are.
 WIDE = 8
 
@@ -125,17 +127,26 @@ def _signature(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
 
 
+def _only(words: Column, sig: Column, other: Column) -> Column:
+    """At most so many of the words can be in the other set as well."""
+    return words - F.bit_count(sig.bitwiseAND(F.bitwise_not(other)))
+
+
 def _fits(a_n: Column, a_pos: Column, a_sig: Column, b_n: Column, b_pos: Column, b_sig: Column) -> Column:
     """What length, position and signatures allow of two sets at the first word that their prefixes share.
 
-    Nothing is common before that word. A bit that only one prefix has stands for a word that only it has; and what is
+    Nothing is common before that word. A bit that only one signature has stands for a word that only that set has.
+    Signatures are of all words, but of lines with more than LONG, whose bits would all be set, of prefixes; what is
     common but not in both prefixes lies behind the prefix that ends first.
     """
     need = F.lit(THRESHOLD / (1 + THRESHOLD)) * (a_n + b_n) - 1e-9
     after = F.least(a_n - a_pos, b_n - b_pos)
-    shared = F.least(_prefix(a_n) - F.bit_count(a_sig.bitwiseAND(F.bitwise_not(b_sig))), _prefix(b_n) - F.bit_count(b_sig.bitwiseAND(F.bitwise_not(a_sig))))
+    whole = _only(a_n, a_sig, b_sig), _only(b_n, b_sig, a_sig)
+    prefix = _only(_prefix(a_n), a_sig, b_sig), _only(_prefix(b_n), b_sig, a_sig)
     behind = F.greatest(a_n - _prefix(a_n), b_n - _prefix(b_n))
-    return (F.least(a_n, b_n) >= THRESHOLD * F.greatest(a_n, b_n) - 1e-9) & (after >= need) & (shared + behind >= need)
+    long = (a_n > LONG) & (b_n > LONG)
+    common = F.when(long, F.least(*prefix) + behind).when((a_n <= LONG) & (b_n <= LONG), F.least(*whole)).otherwise(F.least(a_n, b_n))
+    return (F.least(a_n, b_n) >= THRESHOLD * F.greatest(a_n, b_n) - 1e-9) & (after >= need) & (common >= need)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -150,7 +161,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     n = F.size("keys")
     lines = _lines(docs, ranks).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "no", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("t"),
-        n.alias("n"), _signature(F.slice("keys", 1, _prefix(n))).alias("sig"), F.slice("keys", 1, _prefix(n)).alias("prefix"),
+        n.alias("n"), _signature(F.when(n > LONG, F.slice("keys", 1, _prefix(n))).otherwise(F.col("keys"))).alias("sig"), F.slice("keys", 1, _prefix(n)).alias("prefix"),
     )
     lines = scratch.save(lines, "lines")
     scratch.tidy()
