@@ -158,6 +158,8 @@ def diff_column(v: Column, i: Column, step: Column) -> Column:
 
 #: Encoders by name; others with encode, decode and bits can be added.
 CODECS = {"rice": Rice, "compact": Compact, "elias_fano": EliasFano}
+#: Values of a mono sequence that are encoded in one go; longer sequences are cut into ranges of so many.
+MONO_BLOCK = 1 << 20
 #: Names of dense encoders: one sequence over interleaved pilots (mono), or one for each bucket (inter).
 DENSE = {"mono_r": ("mono", "rice"), "inter_r": ("inter", "rice"), "mono_c": ("mono", "compact"), "inter_c": ("inter", "compact")}
 
@@ -222,19 +224,21 @@ def interleaved(pilots: DataFrame, partitions: int) -> DataFrame:
     return pilots.withColumn("at", F.col("bucket") * partitions + F.col("partition_id"))
 
 
-def encode_dense(pilots: DataFrame, partitions: int, name: str) -> DataFrame:
-    """Pilots by a dense encoder: one sequence, or one per bucket over the partitions."""
+def encode_dense(pilots: DataFrame, partitions: int, name: str, block: int = MONO_BLOCK) -> DataFrame:
+    """Pilots by a dense encoder: one sequence, in ranges of ``block`` values (g numbers them), or one per bucket over
+    the partitions."""
     kind, codec = DENSE[name]
     if kind == "mono":
-        return encode(interleaved(pilots, partitions).withColumn("all", F.lit(0)), "all", "at", "pilot", codec)
+        return encode(interleaved(pilots, partitions).withColumn("range", F.floor(F.col("at") / block)), "range", "at", "pilot", codec)
     return encode(pilots, "bucket", "partition_id", "pilot", codec)
 
 
-def decode_dense(encoded: DataFrame, partitions: int, name: str) -> DataFrame:
-    """partition_id, bucket, pilot again."""
+def decode_dense(encoded: DataFrame, partitions: int, name: str, block: int = MONO_BLOCK) -> DataFrame:
+    """partition_id, bucket, pilot again; ``block`` as encoded."""
     out = decode(encoded)
     if DENSE[name][0] == "mono":
-        return out.select((F.col("i") % partitions).alias("partition_id"), F.floor(F.col("i") / partitions).alias("bucket"), F.col("v").alias("pilot"))
+        at = F.col("g") * block + F.col("i")
+        return out.select((at % partitions).alias("partition_id"), F.floor(at / partitions).alias("bucket"), F.col("v").alias("pilot"))
     return out.select(F.col("i").alias("partition_id"), F.col("g").alias("bucket"), F.col("v").alias("pilot"))
 
 
