@@ -1,10 +1,10 @@
 """Scores of texts by a class-based bigram model in the manner of Brown and others.
 
-P(w | v) mixes P(class of w | class of v) * P(w | class of w) with a smoothed unigram. Classes of words seen MIN_COUNT
-times or more come from exchange clustering: in each round every word moves to the class under which the contexts it
-was seen in (the words before and after, in CONTEXTS hash classes) are most likely, given the counts of the round
-before; so a round is one pass over word vectors, and only a table of classes by contexts goes to the tasks. Rarer
-words are classed by how often they were seen; unseen words count as one more word of the class of those seen once.
+P(w | v) mixes P(class of w | class of v) * P(w | class of w) with a smoothed unigram. Classes of all words of training
+texts come from exchange clustering: in each round every word moves to the class under which the contexts it was seen in
+(the words before and after, in CONTEXTS hash classes) are most likely, given the counts of the round before; so a round
+is one pass over word vectors, and only a table of classes by contexts goes to the tasks. Unseen words are one word with
+a class of its own, whose transitions are those of words seen once, by the share of these that were new.
 
 Texts are cut into chunks of tokens, encoded once against the chunk's own word list. Counts and classes of words are
 joined to the word lists, never to the tokens, and nothing of the size of the vocabulary is broadcast.
@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 from . import textkit
 from .store import Scratch
 
-MIN_COUNT, CLASSES, ROUNDS, CONTEXTS = 64, 64, 8, 256
+MIN_COUNT, CLASSES, ROUNDS, CONTEXTS = 1, 64, 8, 256
 #: Tokens of a chunk: about what a task reads, so that word lists repeat little.
 CHUNK = 4_000_000
 #: Tokens that passes over chunks look at in one go.
 SLICE = 1 << 20
 #: Weight of the class model, and smoothing of its transitions and of the unigrams.
 WEIGHT, TRANSITION, UNIGRAM = 0.85, 0.5, 0.1
-RARE = MIN_COUNT.bit_length() - 1
+#: Classes beyond those of exchange: unseen words.
+RARE = 1
 END_CLASS = CLASSES + RARE
 ALL_CLASSES = END_CLASS + 1
 #: The end of a text, as a word no text holds.
@@ -138,8 +139,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rare_class(totals: np.ndarray) -> np.ndarray:
-    """Classes of words seen less than MIN_COUNT times, by powers of two; unseen ones with those seen once."""
-    return CLASSES + np.floor(np.log2(np.clip(totals, 1, MIN_COUNT - 1))).astype(np.int64)
+    """The class of words seen less than MIN_COUNT times, which are those of no training text."""
+    return np.full(np.shape(totals), CLASSES, np.int64)
 
 
 def contexts(words: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -149,7 +150,7 @@ def contexts(words: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 def _often(words: np.ndarray, totals: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the frequent words of a chunk in order of slices of the vocabulary, and where the slices begin."""
+    """Places of the training words of a chunk in order of slices of the vocabulary, and where the slices begin."""
     at = np.flatnonzero((totals >= MIN_COUNT) & (words != END))
     own = (textkit.mixed(words[at] + textkit.U(1)) % textkit.U(slices)).astype(np.int64)
     order = np.argsort(own, kind="stable")
@@ -247,7 +248,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _often_of_chunks(slices: int):
-    """Of each chunk and slice: slice, chunk, the frequent words and their places."""
+    """Of each chunk and slice: slice, chunk, the training words and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +294,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _unpacked(words, np.uint64)
             if len(table[0]):
                 at = np.minimum(np.searchsorted(table[0], own), len(table[0]) - 1)
-                there = table[0][at] == own  # every frequent word has a vector
+                there = table[0][at] == own  # every training word has a vector
                 out.append((chunk, _packed(_unpacked(places, np.uint32)[there]), _packed(table[1][at[there]].astype(np.uint8))))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2))], ["c", "places", "classes"])
 
@@ -380,23 +381,38 @@ def _steps(classes: np.ndarray) -> np.ndarray:
     return before.astype(np.int32) * ALL_CLASSES + classes
 
 
+def _as_unseen(classes: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Steps with words seen once as unseen words."""
+    return _steps(np.where(new, CLASSES, classes))
+
+
 def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(ALL_CLASSES**2, np.int64)
+    """Counts of steps in training texts; after them, those to and from words seen once, with these as unseen words."""
+    n = ALL_CLASSES**2
+    table = np.zeros(2 * n, np.int64)
     for batch in batches:
-        for held, sizes, codes, classes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for held, sizes, codes, totals, classes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             held, sizes = _unpacked(held, bool), _unpacked(sizes, np.uint32)
+            new = _unpacked(totals, np.uint64) == 1
             classes, codes = _unpacked(classes, np.uint8), _unpacked(codes, np.uint32)
             for first, last, lo, hi in _slices(sizes):
-                own = _steps(classes[codes[lo:hi]])[np.repeat(~held[first:last], sizes[first:last])]
-                table += np.bincount(own, minlength=len(table))
+                mine, train = codes[lo:hi], np.repeat(~held[first:last], sizes[first:last])
+                table[:n] += np.bincount(_steps(classes[mine])[train], minlength=n)
+                to = new[mine]
+                touched = train & (to | np.concatenate([[False], to[:-1]]))
+                table[n:] += np.bincount(_as_unseen(classes[mine], to)[touched], minlength=n)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), pa.array(table)], ["at", "n"])
 
 
-def _scored(steps: np.ndarray, tokens: int, types: int, once: int, twice: int):
-    """Scores by the counts of steps (a square), tokens and types, and of the types seen once and twice."""
-    chance = (steps + TRANSITION) / (steps + TRANSITION).sum(1, keepdims=True)
+def _scored(steps: np.ndarray, tokens: int, types: int, once: int, twice: int, new: np.ndarray | None = None):
+    """Scores by the counts of steps (a square), tokens and types, and of the types seen once and twice.
+
+    The unseen word is alone in its class; its steps are ``new`` (those of words seen once) by the share that was new.
+    """
+    unseen = once / (once + 2 * twice) if once else 0.5
+    smoothed = steps + (0 if new is None else unseen * new) + TRANSITION
+    chance = smoothed / smoothed.sum(1, keepdims=True)
     of_class = steps.sum(0)
-    unseen = once / (once + 2 * twice) if once else 0.5  # share of the class of words seen once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +421,7 @@ def _scored(steps: np.ndarray, tokens: int, types: int, once: int, twice: int):
                 totals = totals.astype(np.float64)
                 base = (totals + UNIGRAM) / (tokens + UNIGRAM * (types + 1))
                 emitted = totals / np.maximum(of_class[classes], 1)
-                emitted = np.where(classes == CLASSES, np.where(totals > 0, (1 - unseen) * emitted, unseen), emitted)
+                emitted = np.where(classes == CLASSES, 1.0, emitted)
                 logs = np.log10(base)
                 for first, last, lo, hi in _slices(sizes):
                     own, n = codes[lo:hi], sizes[first:last].astype(np.int64)
@@ -466,11 +482,11 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     scratch.drop("counted", "vectors")
     scratch.tidy()
 
-    found = classed.select("held", "sizes", "codes", "classes").mapInArrow(_transitions, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    steps = np.zeros(ALL_CLASSES**2, np.int64)
-    steps[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    steps = steps.reshape(ALL_CLASSES, ALL_CLASSES)
+    found = classed.select("held", "sizes", "codes", "totals", "classes").mapInArrow(_transitions, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(2 * ALL_CLASSES**2, np.int64)
+    counts[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    steps, new = counts.reshape(2, ALL_CLASSES, ALL_CLASSES)
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = classed.mapInArrow(_scored(steps, int(steps.sum()), int(types), int(once), int(twice)), schema)
+    out = classed.mapInArrow(_scored(steps, int(steps.sum()), int(types), int(once), int(twice), new), schema)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select("key.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", perplexity.alias("perplexity"))

@@ -87,3 +87,32 @@ def test_empty_and_no_training(spark):
     only = [i for i in range(100) if held(i)][:2]
     got = lm.scores(spark.createDataFrame([(i, "a b") for i in only], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0)] * 2
+
+
+def test_every_training_word_has_a_class_of_exchange():
+    """However rarely it is seen; words of held-out texts alone are the unseen class."""
+    totals = np.array([0, 1, 2, 3, 63, 64, 1000], np.uint64)
+    words = np.arange(10, 17, dtype=np.uint64)
+    at, _ = lm._often(words, totals, 3)
+    assert sorted(at.tolist()) == [1, 2, 3, 4, 5, 6]
+    assert lm.rare_class(totals[:1]).tolist() == [lm.CLASSES]
+
+
+def test_mass_with_unseen_words():
+    """Steps of unseen words come from words seen once; all probabilities after a class sum to one."""
+    totals, classes = np.array([0, 1, 1, 2, 6, 4]), np.array([lm.CLASSES, 0, 1, 0, 1, lm.END_CLASS])
+    of_class = np.bincount(classes, weights=totals, minlength=lm.ALL_CLASSES).astype(np.int64)
+    steps = np.outer(of_class, of_class) // of_class.sum()
+    steps[0] += of_class - steps.sum(0)
+    new = np.zeros_like(steps)
+    new[0, lm.CLASSES], new[lm.CLASSES, 1] = 2, 2
+    run = lm._scored(steps, int(of_class.sum()), 5, 2, 1, new)
+
+    def score(*codes):
+        packed = [lm._packed(x) for x in (np.zeros(1, bool), np.array([len(codes)], np.uint32), np.array(codes, np.uint32), totals.astype(np.uint64), classes.astype(np.uint8))]
+        return next(run(iter([pa.RecordBatch.from_arrays([pa.array([[{"doc_id": 0}]]), *(pa.array([x]) for x in packed)], list("abcdef"))]))).column("score")[0].as_py()
+
+    for first in range(len(totals)):
+        row = steps[classes[first]] + 0.5 * new[classes[first]]
+        absent = 1 - sum(lm.TRANSITION + row[c] for c in np.unique(classes)) / (row.sum() + lm.TRANSITION * lm.ALL_CLASSES)
+        assert math.isclose(sum(10 ** (score(first, w) - score(first)) for w in range(len(totals))) + lm.WEIGHT * absent, 1, rel_tol=1e-9)
