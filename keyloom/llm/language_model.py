@@ -2,9 +2,11 @@
 
 P(w | v) mixes P(class of w | class of v) * P(w | class of w) with a smoothed unigram. Classes of all words of training
 texts come from exchange clustering: in each round every word moves to the class under which the contexts it was seen in
-(the words before and after, in CONTEXTS hash classes) are most likely, given the counts of the round before; so a round
-is one pass over word vectors, and only a table of classes by contexts goes to the tasks. Unseen words are one word with
-a class of its own, whose transitions are those of words seen once, by the share of these that were new.
+(the classes of the words before and after, as of the round before) are most likely, which is what the likelihood of class
+bigrams asks for; contexts are counted again in each round, until a round gains less than GAIN. A round is a pass over
+chunks and one over slices of the vocabulary, and only the counts of class bigrams go to the driver and the tasks. The
+rounds start from classes found likewise with neighbours in CLASSES hash classes. Unseen words are one word with a class
+of its own, whose transitions are those of words seen once, by the share of these that were new.
 
 Texts are cut into chunks of tokens, encoded once against the chunk's own word list. Counts and classes of words are
 joined to the word lists, never to the tokens, and nothing of the size of the vocabulary is broadcast.
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from . import textkit
 from .store import Scratch
 
-MIN_COUNT, CLASSES, ROUNDS, CONTEXTS = 1, 64, 8, 256
+MIN_COUNT, CLASSES, ROUNDS = 1, 64, 2
+#: Nats a token that a round of exchange must gain for another one to follow.
+GAIN = 0.002
 #: Tokens of a chunk: about what a task reads, so that word lists repeat little.
 CHUNK = 4_000_000
 #: Tokens that passes over chunks look at in one go.
@@ -33,6 +37,8 @@ WEIGHT, TRANSITION, UNIGRAM = 0.85, 0.5, 0.1
 RARE = 1
 END_CLASS = CLASSES + RARE
 ALL_CLASSES = END_CLASS + 1
+#: Of a word: the classes before it, and as many after it.
+CONTEXTS = ALL_CLASSES
 #: The end of a text, as a word no text holds.
 END = np.uint64(0x5EED0FE4D0000001)
 _ZSTD = pa.Codec("zstd", 3)
@@ -61,18 +67,32 @@ def _with_ends(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _coded(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words in order, and for each token which it is; in less memory than np.unique takes."""
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    first = np.ones(len(tokens), bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=first[1:])
+    words = tokens[first]
+    del tokens
+    codes = np.empty(len(order), np.uint32)
+    codes[order] = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
+    return words, codes
+
+
 def _chunked():
     """Chunks of documents: keys, held, sizes, codes into words (sorted), and how often each is in training texts."""
 
     def chunk(number: int, parts: list[tuple]) -> pa.RecordBatch:
         keys, held, tokens, sizes = (x for x in zip(*parts, strict=True))
-        keys, held = pa.concat_arrays(keys), np.concatenate(held)
-        tokens, sizes = np.concatenate(tokens), np.concatenate(sizes)
-        words, codes = np.unique(tokens, return_inverse=True)
+        parts.clear()
+        keys, held, sizes = pa.concat_arrays(keys), np.concatenate(held), np.concatenate(sizes)
+        tokens = np.concatenate(tokens)
+        words, codes = _coded(tokens)
         train = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words))
         arrays = [
             pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-            *(pa.array([_packed(x)], pa.binary()) for x in (held, sizes.astype(np.uint32), codes.astype(np.uint32), words, train.astype(np.uint32))),
+            *(pa.array([_packed(x)], pa.binary()) for x in (held, sizes.astype(np.uint32), codes, words, train.astype(np.uint32))),
         ]
         return pa.RecordBatch.from_arrays(arrays, ["chunk", "keys", "held", "sizes", "codes", "words", "train"])
 
@@ -93,6 +113,13 @@ def _chunked():
     return run
 
 
+def _rows(batch: pa.RecordBatch, columns: list[int | str]) -> Iterator[tuple]:
+    """Rows of some columns, one at a time, since a batch may hold many chunks."""
+    columns = [batch.column(c) for c in columns]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
+
+
 #: Rows of word lists carry chunk and place in one number.
 PLACE_BITS = 24
 
@@ -144,9 +171,10 @@ def rare_class(totals: np.ndarray) -> np.ndarray:
 
 
 def contexts(words: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    own = (textkit.mixed(words) % textkit.U(CONTEXTS - RARE - 1)).astype(np.int64)
-    own = np.where(totals >= MIN_COUNT, own, CONTEXTS - RARE - 1 + rare_class(totals) - CLASSES)
-    return np.where(words == END, CONTEXTS - 1, own)
+    """Classes before any exchange, by hash."""
+    own = (textkit.mixed(words) % textkit.U(CLASSES)).astype(np.int64)
+    own = np.where(totals >= MIN_COUNT, own, rare_class(totals))
+    return np.where(words == END, END_CLASS, own)
 
 
 def _often(words: np.ndarray, totals: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,37 +191,43 @@ def _vectors(slices: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                yield from _chunk_vectors(slices, *packed)
+            for packed in _rows(batch, [0, 1, 2, 3, 4]):
+                ctx = contexts(_unpacked(packed[3], np.uint64), _unpacked(packed[4], np.uint64).astype(np.int64))
+                yield from _chunk_vectors(slices, ctx, *packed)
 
     return run
 
 
-def _chunk_vectors(slices: int, held: bytes, sizes: bytes, codes: bytes, words: bytes, totals: bytes) -> Iterator[pa.RecordBatch]:
+def _run_lengths(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of sorted ones and how often each is there."""
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[starts], np.diff(starts, append=len(key)).astype(np.uint32)
+
+
+def _chunk_vectors(slices: int, ctx: np.ndarray, held: bytes, sizes: bytes, codes: bytes, words: bytes, totals: bytes) -> Iterator[pa.RecordBatch]:
     held, sizes, codes = _unpacked(held, bool), _unpacked(sizes, np.uint32), _unpacked(codes, np.uint32)
     words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
     codes = codes[np.repeat(~held, sizes)]
-    ctx = contexts(words, totals).astype(np.int16)
     at, begins = _often(words, totals, slices)
-    rank = np.full(len(words), -1)
-    rank[at] = np.arange(len(at))
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo in range(0, len(codes), SLICE):
-        hi = min(lo + SLICE, len(codes))
-        each = np.full(hi - lo + 2, CONTEXTS - 1)  # a text follows the end of the one before
-        each[int(lo == 0) : hi - lo + 2 - int(hi == len(codes))] = ctx[codes[max(0, lo - 1) : hi + 1]]
-        own = rank[codes[lo:hi]]
-        mine = own >= 0
-        own = own[mine] * (2 * CONTEXTS)
-        key, n = np.unique(np.concatenate([own + each[:-2][mine], own + CONTEXTS + each[2:][mine]]), return_counts=True)
-        keys.append(key)
-        counts.append(n)
-    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(back, weights=np.concatenate(counts), minlength=len(key)).astype(np.uint32)
-    cuts = np.searchsorted(key, begins * (2 * CONTEXTS))
+    kind = np.uint32 if (len(at) + 1) * 2 * CONTEXTS < 1 << 32 else np.uint64
+    first = np.zeros(len(words), kind)
+    first[at] = np.arange(len(at), dtype=kind) * kind(2 * CONTEXTS)
+    each = ctx.astype(np.uint8)[codes]
+    ends = np.array([END_CLASS], np.uint8)  # a text follows the end of the one before
+    mine = each != END_CLASS
+    first = first[codes[mine]]
+    m = len(first)
+    del codes
+    key = np.empty(2 * m, kind)
+    np.add(first, np.concatenate([ends, each[:-1]])[: len(each)][mine], out=key[:m])
+    np.add(first, np.concatenate([each[1:], ends])[: len(each)][mine], out=key[m:])
+    key[m:] += kind(CONTEXTS)
+    del first, each, mine
+    key.sort()
+    cuts = np.searchsorted(key, (begins * (2 * CONTEXTS)).astype(kind))
     for i in np.flatnonzero(np.diff(begins)).tolist():
-        own = slice(cuts[i], cuts[i + 1])
-        packed = _packed(words[at[begins[i] : begins[i + 1]]]), _packed((key[own] - begins[i] * 2 * CONTEXTS).astype(np.uint32)), _packed(n[own])
+        own, n = _run_lengths(key[cuts[i] : cuts[i + 1]])
+        packed = _packed(words[at[begins[i] : begins[i + 1]]]), _packed((own - kind(begins[i] * 2 * CONTEXTS)).astype(np.uint32)), _packed(n)
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["slice", "words", "keys", "counts"])
 
 
@@ -219,36 +253,147 @@ def _flat(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.
     return table.column("word").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), places.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy()
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each word, from rows sorted by slice; a slice is added up at a time."""
-
-    def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words = [_unpacked(p[0], np.uint64) for p in parts]
-        own, back = np.unique(np.concatenate(words), return_inverse=True)
-        keys, counts, first = [], [], 0
-        for w, p in zip(words, parts, strict=True):
-            key = _unpacked(p[1], np.uint32).astype(np.int64)
-            keys.append(back[first : first + len(w)][key // (2 * CONTEXTS)] * (2 * CONTEXTS) + key % (2 * CONTEXTS))
-            counts.append(_unpacked(p[2], np.uint32))
-            first += len(w)
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        if len(key):
-            yield from _vector_rows(own.view(np.int64), key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64))
-
+def _by_slice(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Slices and the other columns of their rows, from rows sorted by slice."""
     now, parts = None, []
     for batch in batches:
-        for number, *packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for number, *packed in _rows(batch, list(range(columns))):
             if number != now and parts:
-                yield from emit(parts)
+                yield now, parts
                 parts = []
             now = number
             parts.append(tuple(packed))
     if parts:
-        yield from emit(parts)
+        yield now, parts
+
+
+def _added(parts: list[tuple]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of a slice's rows (words, keys, counts): its words, where each row's words are in them, keys in order, counts."""
+    words = [_unpacked(p[0], np.uint64) for p in parts]
+    own, back = np.unique(np.concatenate(words), return_inverse=True)
+    back = np.split(back, np.cumsum([len(w) for w in words])[:-1])
+    keys = []
+    for to, p in zip(back, parts, strict=True):
+        key = _unpacked(p[1], np.uint32).astype(np.int64)
+        keys.append(to[key // (2 * CONTEXTS)] * (2 * CONTEXTS) + key % (2 * CONTEXTS))
+    key, n = np.concatenate(keys), np.concatenate([_unpacked(p[2], np.uint32) for p in parts])
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return own, back, key[starts], np.add.reduceat(n, starts, dtype=np.int64) if len(key) else np.zeros(0, np.int64)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each word, from rows sorted by slice; a slice is added up at a time."""
+    for _, parts in _by_slice(batches, 4):
+        own, _, key, n = _added(parts)
+        if len(key):
+            yield from _vector_rows(own.view(np.int64), key, n)
+
+
+def _moves(slices: int):
+    """Of chunks: the counts of steps (slice -1), and vectors of words by the classes around them, by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["slice", "chunk", "words", "keys", "counts"]
+        for batch in batches:
+            for chunk, numbers, classes, *packed in _rows(batch, ["chunk", "numbers", "classes", "held", "sizes", "codes", "words", "totals"]):
+                own = _own_classes(slices, packed[3], packed[4], numbers, classes)
+                held, sizes, codes = _unpacked(packed[0], bool), _unpacked(packed[1], np.uint32), _unpacked(packed[2], np.uint32)
+                steps = np.zeros(ALL_CLASSES**2, np.int64)
+                for first, last, lo, hi in _slices(sizes):
+                    train = np.repeat(~held[first:last], sizes[first:last])
+                    steps += np.bincount(_steps(own[codes[lo:hi]])[train], minlength=len(steps))
+                del codes
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in (b"", b"", _packed(steps)))], names)
+                for rows in _chunk_vectors(slices, own, *packed):
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([chunk], pa.int64()), *(rows.column(i) for i in (1, 2, 3))], names)
+
+    return run
+
+
+def _best(logs: np.ndarray, n_words: int, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The likeliest class of each word of a slice."""
+    out = np.zeros(n_words, np.uint8)
+    for lo in range(0, n_words, 4096):
+        hi = min(lo + 4096, n_words)
+        a, b = np.searchsorted(key, [lo * 2 * CONTEXTS, hi * 2 * CONTEXTS])
+        x = np.bincount(key[a:b] - lo * 2 * CONTEXTS, weights=n[a:b], minlength=(hi - lo) * 2 * CONTEXTS)
+        out[lo:hi] = (x.reshape(hi - lo, 2 * CONTEXTS) @ logs.T).argmax(1)
+    return out
+
+
+def _reassigned(logs: np.ndarray):
+    """Of rows of ``_moves`` sorted by slice: chunk, slice and the new classes of the words asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, parts in _by_slice(batches, 5):
+            own, back, key, n = _added([p[1:] for p in parts])
+            classes = _best(logs, len(own), key, n)
+            for to, p in zip(back, parts, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([p[0]], pa.int64()), pa.array([number], pa.int32()), pa.array([_packed(classes[to])], pa.binary())], ["c", "slice", "classes"])
+
+    return run
+
+
+def _likelihood(steps: np.ndarray) -> float:
+    """Nats a token of what classes tell of the next: the part of the class bigrams' log likelihood that exchange can change."""
+    log = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return (log(steps.astype(float)) - log(steps.sum(0).astype(float)) - log(steps.sum(1).astype(float))) / steps.sum() + np.log(steps.sum())
+
+
+def _exchange(scratch: Scratch, counted: DataFrame, placed: DataFrame, slices: int) -> DataFrame:
+    """placed (c, numbers, classes) after rounds of exchange, of which the last kept is the likeliest."""
+    best, kept, rounds = -np.inf, placed, 0
+    counted = counted.drop("keys")
+    while True:
+        moves = counted.join(placed, F.col("chunk") == F.col("c"), "left").mapInArrow(_moves(slices), "slice int, chunk long, words binary, keys binary, counts binary")
+        moves = scratch.save(moves, f"moves{rounds}")
+        steps = moves.where("slice = -1").select("counts").mapInArrow(_all_steps, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        table = np.zeros(ALL_CLASSES**2, np.int64)
+        table[steps["at"].to_numpy(np.int64)] = steps["n"].to_numpy(np.int64)
+        table = table.reshape(ALL_CLASSES, ALL_CLASSES)
+        gain = _likelihood(table) - best if table.any() else 0.0
+        if gain > 0:
+            best, kept = best + gain if np.isfinite(gain) else _likelihood(table), placed
+        if gain < GAIN:
+            scratch.drop(f"moves{rounds}")
+            return kept
+        logs = _logs(np.concatenate([table[:, :CLASSES].T, table[:CLASSES]], 1))
+        moved = moves.where("slice >= 0").repartition("slice").sortWithinPartitions("slice").mapInArrow(_reassigned(logs), _ANSWERS)
+        placed = scratch.save(_gathered(moved), f"placed{rounds}")
+        scratch.drop(f"moves{rounds}")
+        scratch.tidy()
+        rounds += 1
+
+
+def _all_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(ALL_CLASSES**2, np.int64)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            table += _unpacked(x, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), pa.array(table)], ["at", "n"])
+
+
+_ANSWERS = "c long, slice int, classes binary"
+
+
+def _gathered(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("c").agg(F.collect_list(F.struct("slice", "classes")).alias("x")).select("c", F.col("x.slice").alias("numbers"), "x.classes")
+
+
+def _own_classes(slices: int, words: bytes, totals: bytes, numbers: list | None, classes: list | None) -> np.ndarray:
+    """Classes of a chunk's words from those of its slices, which are in the order of ``_often``."""
+    words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
+    own = np.where(words == END, END_CLASS, CLASSES).astype(np.uint8)
+    at, begins = _often(words, totals, slices)
+    for i, what in zip(numbers or [], classes or [], strict=True):
+        own[at[begins[i] : begins[i + 1]]] = _unpacked(what, np.uint8)
+    return own
 
 
 def _often_of_chunks(slices: int):
-    """Of each chunk and slice: slice, chunk, the training words and their places."""
+    """Of each chunk and slice: slice, chunk and the training words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +402,7 @@ def _often_of_chunks(slices: int):
                 at, begins = _often(words, totals, slices)
                 for i in np.flatnonzero(np.diff(begins)).tolist():
                     own = at[begins[i] : begins[i + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([number], pa.int64()), pa.array([_packed(words[own])], pa.binary()), pa.array([_packed(own.astype(np.uint32))], pa.binary())], ["slice", "chunk", "words", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([number], pa.int64()), pa.array([_packed(words[own])], pa.binary()), pa.array([b""], pa.binary())], ["slice", "chunk", "words", "classes"])
 
     return run
 
@@ -271,32 +416,28 @@ def _classes_of_words(slices: int):
             own = (textkit.mixed(words + textkit.U(1)) % textkit.U(slices)).astype(np.int32)
             for i in np.unique(own).tolist():
                 mine = own == i
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([-1], pa.int64()), pa.array([_packed(words[mine])], pa.binary()), pa.array([_packed(classes[mine].astype(np.uint32))], pa.binary())], ["slice", "chunk", "words", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([-1], pa.int64()), pa.array([_packed(words[mine])], pa.binary()), pa.array([_packed(classes[mine].astype(np.uint8))], pa.binary())], ["slice", "chunk", "words", "classes"])
 
     return run
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """chunk, places and classes, from rows sorted by slice and chunk."""
+    """chunk, slice and classes, from rows sorted by slice and chunk."""
     now, known, table = None, [], None
     for batch in batches:
         out: list[tuple] = []
-        for number, chunk, words, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for number, chunk, words, classes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if number != now:
                 now, known, table = number, [], None
             if chunk < 0:
-                known.append((_unpacked(words, np.uint64), _unpacked(places, np.uint32)))
+                known.append((_unpacked(words, np.uint64), _unpacked(classes, np.uint8)))
                 continue
             if table is None:
-                w, c = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+                w, c = (np.concatenate(x) for x in zip(*known, strict=True))  # every training word has a vector
                 order = np.argsort(w)
                 table = w[order], c[order]
-            own = _unpacked(words, np.uint64)
-            if len(table[0]):
-                at = np.minimum(np.searchsorted(table[0], own), len(table[0]) - 1)
-                there = table[0][at] == own  # every training word has a vector
-                out.append((chunk, _packed(_unpacked(places, np.uint32)[there]), _packed(table[1][at[there]].astype(np.uint8))))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2))], ["c", "places", "classes"])
+            out.append((chunk, number, _packed(table[1][np.searchsorted(table[0], _unpacked(words, np.uint64))])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["c", "slice", "classes"])
 
 
 def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -351,18 +492,16 @@ def cluster(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(_assigned(_logs(table)), "word long, class long")
 
 
-def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _classed(slices: int):
     """Chunks with the class of each of their words in place of the word lists."""
-    for batch in batches:
-        out = []
-        for words, totals, places, classes in zip(*(batch.column(c).to_pylist() for c in ("words", "totals", "places", "classes")), strict=True):
-            words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
-            own = np.where(words == END, END_CLASS, rare_class(totals))
-            for at, what in zip(places or [], classes or [], strict=True):
-                own[_unpacked(at, np.uint32)] = _unpacked(what, np.uint8)
-            out.append(_packed(own.astype(np.uint8)))
-        columns = ["keys", "held", "sizes", "codes", "totals"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "classes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_packed(_own_classes(slices, *x)) for x in _rows(batch, ["words", "totals", "numbers", "classes"])]
+            columns = ["keys", "held", "sizes", "codes", "totals"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "classes"])
+
+    return run
 
 
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -391,7 +530,7 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = ALL_CLASSES**2
     table = np.zeros(2 * n, np.int64)
     for batch in batches:
-        for held, sizes, codes, totals, classes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for held, sizes, codes, totals, classes in _rows(batch, [0, 1, 2, 3, 4]):
             held, sizes = _unpacked(held, bool), _unpacked(sizes, np.uint32)
             new = _unpacked(totals, np.uint64) == 1
             classes, codes = _unpacked(classes, np.uint8), _unpacked(codes, np.uint32)
@@ -467,19 +606,22 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     scratch.drop("encoded")
     scratch.tidy()
 
-    slices = max(12, -(-totals.count() // 2))  # of the vocabulary: what a task adds up stays as large as a few chunks
+    slices = max(12, totals.count())  # of the vocabulary: what a task adds up stays as large as a chunk
     vectors = counted.select("held", "sizes", "codes", "words", "totals").mapInArrow(_vectors(slices), "slice int, words binary, keys binary, counts binary")
     vectors = vectors.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed, "word long, places array<short>, counts array<long>")
     vectors = scratch.save(vectors, "vectors")
     scratch.tidy()
-    row = "slice int, chunk long, words binary, places binary"
+    row = "slice int, chunk long, words binary, classes binary"
     known = cluster(vectors).mapInArrow(_classes_of_words(slices), row)
     asked = counted.select("chunk", "words", "totals").mapInArrow(_often_of_chunks(slices), row)
-    placed = known.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "chunk").mapInArrow(_looked_up, "c long, places binary, classes binary")
-    placed = scratch.save(placed.groupBy("c").agg(F.collect_list(F.struct("places", "classes")).alias("x")).select("c", "x.places", "x.classes"), "placed")
+    placed = known.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "chunk").mapInArrow(_looked_up, _ANSWERS)
+    placed = scratch.save(_gathered(placed), "placed")
+    scratch.drop("vectors")
+    scratch.tidy()
+    placed = _exchange(scratch, counted, placed, slices)
     classed = counted.join(placed, F.col("chunk") == F.col("c"), "left")
-    classed = scratch.save(classed.mapInArrow(_classed, f"keys array<{kind}>, {parts}, totals binary, classes binary"), "classed")
-    scratch.drop("counted", "vectors")
+    classed = scratch.save(classed.mapInArrow(_classed(slices), f"keys array<{kind}>, {parts}, totals binary, classes binary"), "classed")
+    scratch.drop("counted")
     scratch.tidy()
 
     found = classed.select("held", "sizes", "codes", "totals", "classes").mapInArrow(_transitions, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()

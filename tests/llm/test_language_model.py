@@ -116,3 +116,19 @@ def test_mass_with_unseen_words():
         row = steps[classes[first]] + 0.5 * new[classes[first]]
         absent = 1 - sum(lm.TRANSITION + row[c] for c in np.unique(classes)) / (row.sum() + lm.TRANSITION * lm.ALL_CLASSES)
         assert math.isclose(sum(10 ** (score(first, w) - score(first)) for w in range(len(totals))) + lm.WEIGHT * absent, 1, rel_tol=1e-9)
+
+
+def test_exchange_sees_classes_of_neighbours(spark):
+    """Three kinds of words in turn, each word seen about ten times by other neighbours: only their classes tell."""
+    r = random.Random(5)
+    docs = [(i, " ".join(f"{'abc'[j % 3]}{r.randrange(300)}" for j in range(30))) for i in range(300)]
+    out = [x for x in lm.scores(spark.createDataFrame(docs, "doc_id long, text string")).collect() if x.held_out]
+    gain = sum(x.score - x.base_score for x in out) / sum(x.n_tokens for x in out)
+    assert gain > 0.2  # at most log10 of 3, 0.48; hashed neighbours gave 0.14
+
+
+def test_likelihood_is_the_information_of_class_bigrams():
+    steps = np.array([[0, 6, 0], [2, 0, 4], [4, 0, 0]])
+    p = steps / steps.sum()
+    want = sum(x * math.log(x / (a * b)) for row, a in zip(p, p.sum(1), strict=True) for x, b in zip(row, p.sum(0), strict=True) if x)
+    assert math.isclose(lm._likelihood(steps), want)
