@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -156,11 +156,27 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+#: Words of a text, as ``hits`` counts them.
+_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """The text without the words of spans and what stands between them."""
+    gaps = F.split(text, _WORDS, -1)
+    within = lambda i, first: F.exists(spans, lambda s: (s["lo"] + first <= i) & (i < s["hi"]))
+    kept = F.transform(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)), lambda w, i: F.concat(F.when(within(i, 1), "").otherwise(F.get(gaps, i)), F.when(within(i, 0), "").otherwise(w)))
+    return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows: those of whose words a twentieth or more is hit. All columns stay."""
-    bad = hits(docs, benchmark).where(contaminated()).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    """``docs`` without contaminated rows: those of whose words a twentieth or more is hit. The hit words of others are
+    cut out of their text; other columns stay as they are."""
+    hit = hits(docs, benchmark).where("n_hit > 0")
+    hit = hit.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans"), contaminated().alias("__bad")).dropDuplicates(["__id", "__h"])
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h"))
-    return docs.join(bad, same, "left_anti")
+    rest = docs.join(hit, same, "left").where(~F.coalesce("__bad", F.lit(False)))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__spans")))
+    return rest.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -62,3 +62,16 @@ def test_guarantee():
             own = decontamination.np.array(r.choices(range(50), k=r.randint(0, 20)) + shared + r.choices(range(50), k=r.randint(0, 20)), decontamination.np.uint64)
             keys.append({x["fp"] for x in decontamination._fingerprints(own, 13)})
         assert keys[0] & keys[1]
+
+
+def test_passages_of_long_documents_are_cut(spark):
+    """Below a twentieth of the words, the document stays without the passages, and repeated and null ids as well."""
+    passage = [f"p{i}" for i in range(13)]
+    before, after = " ".join(f"é{i}" for i in range(300)) + ". (", ") " + " ".join(f"B{i}" for i in range(300)) + "!"
+    text = before + " -\n".join(passage).upper() + after
+    docs = spark.createDataFrame([(1, "x", text), (1, "y", text), (None, "z", text), (2, "x", "\t" + before + after)], "doc_id long, source string, text string")
+    bench = spark.createDataFrame([(0, " ".join(passage))], "item_id long, text string")
+    got = decontamination.clean(docs, bench)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.source, r.text) for r in got.collect()) == sorted([("1", "x", before + after), ("1", "y", before + after), ("None", "z", before + after), ("2", "x", "\t" + before + after)])
+    assert decontamination.hits(got, bench).where("n_hit > 0").count() == 0
