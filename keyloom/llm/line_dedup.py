@@ -1,12 +1,12 @@
 """Line dedup by an exact set-similarity join, with built-in DataFrame functions only.
 
-A line is the set of its lower-cased words. Words are ordered by rarity (counts of 2^16 hash classes of words, so the
-order takes a fixed size whatever the vocabulary; any one order gives exact results). Two sets of Jaccard similarity
-THRESHOLD or more share a word among the first n - ceil(THRESHOLD * n) + 1 of each. Lines with equal sets are one set
-from then on, numbered in order of first occurrence. Pairs come from a join on prefix words under the length and
-positional filters and one by signatures of 64 bits, and are verified on all words. Words of many prefixes are first
-joined with the earliest of their sets only: sets that this finds matched need no other partner, which spares the
-pairs within large families of variants.
+A line is the set of its lower-cased words, as 64-bit hashes, which are made once and stored. Words are ordered by
+rarity (levels, four to a doubling, of the counts in 2^18 hash classes, so the order takes a fixed size whatever the
+vocabulary; any one order gives exact results). Two sets of Jaccard similarity THRESHOLD or more share a word among the
+first n - ceil(THRESHOLD * n) + 1 of each. Lines with equal sets are one set from then on, numbered in order of first
+occurrence. Pairs come from a join on prefix words under the length and positional filters and one by signatures of
+BITS bits, and are verified on all words. Words of many prefixes are first joined with the earliest of their sets only:
+sets that this finds matched need no other partner, which spares the pairs within large families of variants.
 """
 
 from __future__ import annotations
@@ -17,138 +17,117 @@ from pyspark.sql import functions as F
 from .store import Scratch
 
 THRESHOLD = 0.85
-CLASS_BITS = 16
+CLASS_BITS = 18
 WORD = r"[^\x20\x09-\x0D]"
 #: Sets of a prefix word from which its earliest set is tried first, and rows up to which a side is broadcast.
 FAMILY, BROADCAST_ROWS = 16, 500_000
-#: Words of a line beyond which its signature is of the prefix.
-LONG = 80
-#: Words of 64 bits of the wide signatures that candidates are compared by before all their words are.
-WIDE = 8
+#: Words of 64 bits of a signature; bits of a key that are not its level.
+WIDE, HASH_BITS = 4, 56
+SIG = [f"w{i}" for i in range(WIDE)]
+#: A dictionary of this many bytes holds the words of a written file, which then takes a few bytes a word.
+DICTIONARY = {"parquet.dictionary.page.size": str(16 << 20)}
+
+
+def _lowered(text: Column) -> Column:
+    """Lower case, with one kind of blank between words; only texts that have others are searched for each."""
+    blank = text
+    for c in "\t\x0b\x0c\r":
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
+    return F.lower(F.when(text.rlike(r"[\x09\x0B-\x0D]"), blank).otherwise(text))
+
+
+def _tokens(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """row, doc_id, text_hash, no (from 1), words (distinct hashes) of the lines that have words."""
+    text = F.coalesce("text", F.lit(""))
+    lines = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(_lowered(text), "\n", -1)).alias("no", "line")).where(F.col("line").rlike(WORD))
+    words = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    lines = lines.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", (F.col("no") + 1).alias("no"), words.alias("words"))
+    return scratch.save(lines, "tokens", **DICTIONARY)
+
+
+def _levels(tokens: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row: the level of each class of words. Gathered in two steps, so that no task sorts all classes."""
+    size, part = 1 << CLASS_BITS, 1 << (CLASS_BITS // 2)
+    counts = tokens.select(F.explode("words").alias("h")).select(F.col("h").bitwiseAND(size - 1).alias("c")).groupBy("c").count()
+    every = tokens.sparkSession.range(size).join(counts, F.col("id") == F.col("c"), "left")
+    level = F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("byte")
+    in_order = lambda x, by: F.transform(F.sort_array(F.collect_list(F.struct(by, x))), lambda s: s[x])
+    parts = every.select("id", level.alias("level"), F.floor(F.col("id") / part).alias("part")).groupBy("part").agg(in_order("level", "id").alias("levels"))
+    return scratch.save(parts.agg(F.flatten(in_order("levels", "part")).alias("levels")), "levels")
+
+
+def _keys(words: Column, levels: Column) -> Column:
+    """Words by rarity: the level of the class, then the upper bits of the hash."""
+    size = (1 << CLASS_BITS) - 1
 
+    def key(h: Column) -> Column:
+        return F.shiftleft(F.get(levels, h.bitwiseAND(size).cast("int")).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-def _words(text: Column) -> Column:
-    """Words of a text, and empty strings where blanks meet; a split at one character needs no pattern."""
-    for c in "\t\n\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.split(F.lower(text), " ", -1)
+    return F.sort_array(F.transform(words, key))
 
 
-def _ranks(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row: ranks by class of hashes, the rarest class first."""
-    spark, size = texts.sparkSession, 1 << CLASS_BITS
-    classes = texts.select(F.explode(_words(F.col("text"))).alias("w")).select(F.xxhash64("w").bitwiseAND(size - 1).alias("c"))
-    counts = classes.groupBy("c").count()
-    every = spark.range(size).join(counts, F.col("id") == F.col("c"), "left").select("id", F.coalesce("count", F.lit(0)).alias("n"))
-    order = F.transform(F.sort_array(F.collect_list(F.struct("n", "id"))), lambda x: x["id"])
-    placed = every.agg(order.alias("order")).select(F.posexplode("order").alias("rank", "id"))
-    ranks = placed.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "rank"))), lambda x: x["rank"].cast("long")).alias("ranks"))
-    return scratch.save(ranks, "ranks")
+def _prefix(n: Column) -> Column:
+    return (n - F.ceil(n * THRESHOLD - 1e-9) + 1).cast("int")
 
 
-def _keys(line: Column, ranks: Column, blank: Column) -> Column:
-    """Distinct words of a line by rarity: rank of the class, then the rest of the hash; together the whole hash but a bit."""
-    size = (1 << CLASS_BITS) - 1
-    words = F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), blank))
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-    def key(h: Column) -> Column:
-        return F.shiftleft(F.get(ranks, h.bitwiseAND(size).cast("int")), 63 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS + 1))
 
-    return F.sort_array(F.transform(words, key))
+def _signatures(tokens: DataFrame) -> DataFrame:
+    """Of each row, a bit of WIDE * 64 for each of its words."""
+    h = F.col("h")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    place = F.shiftrightunsigned(h, 32).bitwiseAND(WIDE - 1)
+    each = tokens.select("row", F.explode("words").alias("h")).select("row", place.alias("place"), bit.alias("bit"))
+    return each.groupBy("row").agg(*[F.bit_or(F.when(F.col("place") == i, F.col("bit")).otherwise(0)).alias(c) for i, c in enumerate(SIG)])
 
 
-def _lines(docs: DataFrame, ranks: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, text_hash, no (from 1), keys of the lines that have words; ``only``: of those numbered there."""
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = texts.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    lines = lines.select("doc_id", "text_hash", (F.col("no") + 1).alias("no"), "line").where(F.col("line").rlike(WORD))
-    if only is not None:
-        same = lines["doc_id"].eqNullSafe(only["d"]) & (lines["text_hash"] == only["h"]) & (lines["no"] == only["l"])
-        lines = lines.join(only, same, "left_semi")
-    lines = lines.withColumn("ranks", ranks.scalar()).withColumn("keys", _keys(F.col("line"), F.col("ranks"), F.xxhash64(F.lit(""))))
-    return lines.select("doc_id", "text_hash", "no", "keys")
+def _only(k: str, other: str) -> Column:
+    """Words that one set has and the other has not, at least: bits that only its signature has."""
+    return sum((F.bit_count(F.col(f"{k}{c}").bitwiseAND(F.bitwise_not(F.col(f"{other}{c}")))) for c in SIG), F.lit(0))
 
 
-def _prefix(n: Column) -> Column:
-    return (n - F.ceil(n * THRESHOLD - 1e-9) + 1).cast("int")
+def _bound(a: str, b: str) -> Column:
+    """What two sets have in common, at most, by their signatures."""
+    return F.least(F.col(f"{a}n") - _only(a, b), F.col(f"{b}n") - _only(b, a))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _fits(a: str, b: str) -> Column:
+    """What length, position and signatures allow of two sets at the first word that their prefixes share: nothing is
+    common before that word."""
+    a_n, b_n = F.col(f"{a}n"), F.col(f"{b}n")
+    need = F.lit(THRESHOLD / (1 + THRESHOLD)) * (a_n + b_n) - 1e-9
+    after = F.least(a_n - F.col(f"{a}pos"), b_n - F.col(f"{b}pos"))
+    return (F.least(a_n, b_n) >= THRESHOLD * F.greatest(a_n, b_n) - 1e-9) & (after >= need) & (_bound(a, b) >= need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """b (number of the later set) of the pairs (a, b) that are similar on all words."""
+def _verified(pairs: DataFrame, rows: DataFrame, tokens: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """b (number of the later set) of the pairs (a, b, bound) that are similar on all words."""
     pairs = scratch.save(pairs, f"pairs-{name}")
     scratch.tidy()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = scratch.save(sets.join(ids, sets["set"] == ids["id"], "left_semi").select("set", "at.*"), f"held-{name}")
-    n = held.count()
-    only = held.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("no").alias("l"))
-    full = _lines(docs, ranks, _small(only, n)).distinct()
-    same = held["doc_id"].eqNullSafe(full["doc_id"]) & (held["text_hash"] == full["text_hash"]) & (held["no"] == full["no"])
-    full = scratch.save(full.join(_small(held, n), same).select("set", "keys"), f"full-{name}")
+    held = scratch.save(rows.join(ids, rows["set"] == ids["id"], "left_semi").select("set", F.col("row").alias("own")), f"held-{name}")
+    full = tokens.select("row", "words").join(_small(held, held.count()), F.col("row") == F.col("own")).select("set", "words")
+    full = scratch.save(full, f"full-{name}", **DICTIONARY)
     scratch.tidy()
-    wide = full.select("set", F.size("keys").alias("n"), *[_signature(F.filter("keys", _word_of(i))).alias(f"w{i}") for i in range(WIDE)])
-    wide = scratch.save(wide, f"wide-{name}")
-    sides = [_small(wide.select(*[F.col(c).alias(k if c == "set" else f"{k}_{c}") for c in wide.columns]), n) for k in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-
-    def apart(k: str, other: str) -> Column:
-        return F.col(f"{k}_n") - sum(F.bit_count(F.col(f"{k}_w{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}_w{i}")))) for i in range(WIDE))
-
-    bound = F.least(apart("a", "b"), apart("b", "a"))
-    need = F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("a_n") + F.col("b_n")) - 1e-9
-    fits = scratch.save(both.withColumn("bound", bound).where(F.col("bound") >= need).select("a", "b", "bound"), f"fits-{name}")
 
     def confirmed(some: DataFrame, step: str) -> DataFrame:
-        x, y = (full.select(F.col("set").alias(k), F.col("keys").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        held = some.join(x, "a").join(y, "b")
-        common = F.size(F.array_intersect("x", "y"))
-        alike = common >= THRESHOLD * (F.size("x") + F.size("y") - common) - 1e-9
+        x, y = (full.select(F.col("set").alias(k), F.col("words").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        held = some.join(x, "a").join(y, "b").select("b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+        alike = F.col("common") >= THRESHOLD * (F.col("m") + F.col("n") - F.col("common")) - 1e-9
         return scratch.save(held.where(alike).select("b").distinct(), f"matched-{step}-{name}")
 
     # One partner is enough for a set, and mostly the likeliest is one; only where it is not, the others are tried.
-    best = fits.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("m"))
-    some = confirmed(best.select("b", F.col("m.a").alias("a")), "best")
-    left = fits.join(_small(some.withColumnRenamed("b", "gone"), some.count()), F.col("b") == F.col("gone"), "left_anti")
-    left = left.join(best.select(F.col("b").alias("tried"), F.col("m.a").alias("with")), (F.col("b") == F.col("tried")) & (F.col("a") == F.col("with")), "left_anti")
+    best = scratch.save(pairs.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("m")).select("b", F.col("m.a").alias("a")), f"best-{name}")
+    some = confirmed(best, "best")
+    left = pairs.join(_small(some.withColumnRenamed("b", "gone"), some.count()), F.col("b") == F.col("gone"), "left_anti")
+    left = left.join(best.withColumnsRenamed({"b": "tried", "a": "with"}), (F.col("b") == F.col("tried")) & (F.col("a") == F.col("with")), "left_anti")
     rest = confirmed(left.select("a", "b"), "rest")
     scratch.tidy()
     return some.unionByName(rest)
 
 
-def _word_of(i: int):
-    return lambda k: F.shiftright(k, 6).bitwiseAND(WIDE - 1) == i
-
-
-def _signature(keys: Column) -> Column:
-    """A bit of 64 for each word."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
-
-
-def _only(words: Column, sig: Column, other: Column) -> Column:
-    """At most so many of the words can be in the other set as well."""
-    return words - F.bit_count(sig.bitwiseAND(F.bitwise_not(other)))
-
-
-def _fits(a_n: Column, a_pos: Column, a_sig: Column, b_n: Column, b_pos: Column, b_sig: Column) -> Column:
-    """What length, position and signatures allow of two sets at the first word that their prefixes share.
-
-    Nothing is common before that word. A bit that only one signature has stands for a word that only that set has.
-    Signatures are of all words, but of lines with more than LONG, whose bits would all be set, of prefixes; what is
-    common but not in both prefixes lies behind the prefix that ends first.
-    """
-    need = F.lit(THRESHOLD / (1 + THRESHOLD)) * (a_n + b_n) - 1e-9
-    after = F.least(a_n - a_pos, b_n - b_pos)
-    whole = _only(a_n, a_sig, b_sig), _only(b_n, b_sig, a_sig)
-    prefix = _only(_prefix(a_n), a_sig, b_sig), _only(_prefix(b_n), b_sig, a_sig)
-    behind = F.greatest(a_n - _prefix(a_n), b_n - _prefix(b_n))
-    long = (a_n > LONG) & (b_n > LONG)
-    common = F.when(long, F.least(*prefix) + behind).when((a_n <= LONG) & (b_n <= LONG), F.least(*whole)).otherwise(F.least(a_n, b_n))
-    return (F.least(a_n, b_n) >= THRESHOLD * F.greatest(a_n, b_n) - 1e-9) & (after >= need) & (common >= need)
-
-
 def removed_lines(docs: DataFrame) -> DataFrame:
     """One row per line that has a similar line before it: doc_id, text_hash, no (from 1).
 
@@ -157,39 +136,44 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     are one document. Null and empty texts have no lines. No rows give none.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    ranks = _ranks(docs.select("text").where(F.col("text").isNotNull()), scratch)
+    tokens = _tokens(docs, scratch)
+    levels = _levels(tokens, scratch)
     n = F.size("keys")
-    lines = _lines(docs, ranks).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "no", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("t"),
-        n.alias("n"), _signature(F.when(n > LONG, F.slice("keys", 1, _prefix(n))).otherwise(F.col("keys"))).alias("sig"), F.slice("keys", 1, _prefix(n)).alias("prefix"),
-    )
+    lines = tokens.withColumn("levels", levels.scalar()).select("row", "doc_id", "text_hash", "no", _keys(F.col("words"), F.col("levels")).alias("keys"))
+    lines = lines.select("row", "doc_id", "text_hash", "no", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("t"), n.alias("n"), F.slice("keys", 1, _prefix(n)).alias("prefix"))
     lines = scratch.save(lines, "lines")
     scratch.tidy()
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "no", "row")
     firsts = lines.groupBy("s", "t").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("times")).orderBy("at")
     firsts = scratch.save(firsts.select(F.monotonically_increasing_id().alias("set"), "s", "t", "times", "at"), "firsts")
-    numbered = firsts.select("set", F.col("at.row").alias("own"))
-    sets = scratch.save(lines.join(numbered, F.col("row") == F.col("own")).select("set", "n", "sig", "prefix"), "sets")
+    rows = firsts.select("set", F.col("at.row").alias("row"))
+    sets = lines.select("row", "n", "prefix").join(rows, "row").join(_signatures(tokens), "row")
+    sets = scratch.save(sets.select("set", "n", *SIG, "prefix"), "sets")
     scratch.tidy()
-    postings = sets.select("set", "n", "sig", F.posexplode("prefix").alias("pos", "word"))
+    postings = sets.select("set", "n", *SIG, F.posexplode("prefix").alias("pos", "word"))
 
-    wide = postings.groupBy("word").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("df")).where(F.col("df") > FAMILY)
+    wide = sets.select("set", F.explode("prefix").alias("word")).groupBy("word").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("df")).where(F.col("df") > FAMILY)
     wide = scratch.save(wide.select("word", "head"), "wide")
-    heads = wide.join(postings.withColumnsRenamed({"word": "w", "set": "a", "n": "a_n", "sig": "a_sig", "pos": "a_pos"}), (F.col("word") == F.col("w")) & (F.col("head") == F.col("a")))
-    heads = scratch.save(heads.select("w", "a", "a_n", "a_sig", "a_pos"), "heads")
+    side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("set", "n", "pos", *SIG)]
+    few = wide.count()
+    heads = postings.select("word", *side("a")).join(_small(wide.withColumnRenamed("word", "w"), few), (F.col("word") == F.col("w")) & (F.col("head") == F.col("a_set"))).drop("word", "head")
+    heads = scratch.save(heads, "heads")
     scratch.tidy()
-    near = postings.join(_small(heads, heads.count()), (F.col("word") == F.col("w")) & (F.col("a") < F.col("set")) & _fits(F.col("a_n"), F.col("a_pos"), F.col("a_sig"), F.col("n"), F.col("pos"), F.col("sig")))
-    first = _verified(near.select("a", F.col("set").alias("b")).distinct(), firsts, docs, ranks, scratch, "first")
+    near = postings.select("word", *side("b")).join(_small(heads, few), (F.col("word") == F.col("w")) & (F.col("a_set") < F.col("b_set")) & _fits("a_", "b_"))
+    pair = lambda df: df.groupBy(F.col("a_set").alias("a"), F.col("b_set").alias("b")).agg(F.max(_bound("a_", "b_")).alias("bound"))
+    first = _verified(pair(near), rows, tokens, scratch, "first")
 
     # Matched sets are marked by a negative number: both sides of the join are then one exchange.
     marked = sets.join(_small(first, first.count()), F.col("set") == F.col("b"), "left")
-    marked = marked.select(F.when(F.col("b").isNull(), F.col("set")).otherwise(-1 - F.col("set")).alias("mark"), "n", "sig", F.posexplode("prefix").alias("pos", "word"))
-    x, y = marked.alias("x"), marked.alias("y")
-    own = F.when(F.col("x.mark") < 0, -1 - F.col("x.mark")).otherwise(F.col("x.mark"))
-    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (own < F.col("y.mark")) & _fits(*(F.col(f"{k}.{c}") for k in "xy" for c in ("n", "pos", "sig"))))
-    second = _verified(met.select(own.alias("a"), F.col("y.mark").alias("b")).distinct(), firsts, docs, ranks, scratch, "second")
-
-    scratch.drop("sets")
+    mark = F.coalesce(F.when(F.col("b").isNull(), F.col("set")).otherwise(-1 - F.col("set")), F.lit(0).cast("long"))
+    marked = marked.select(mark.alias("set"), "n", *SIG, F.posexplode("prefix").alias("pos", "word"))
+    x = marked.select(F.col("word").alias("a_word"), *side("a"))
+    y = marked.select(F.col("word").alias("b_word"), *side("b"))
+    own = F.when(F.col("a_set") < 0, -1 - F.col("a_set")).otherwise(F.col("a_set"))
+    met = x.join(y, (F.col("a_word") == F.col("b_word")) & (own < F.col("b_set")) & _fits("a_", "b_"))
+    second = _verified(pair(met.withColumn("a_set", own)), rows, tokens, scratch, "second")
+
+    scratch.drop("sets", "tokens")
     matched = first.unionByName(second).distinct()
     flagged = firsts.join(matched, F.col("set") == F.col("b"), "left").where((F.col("times") > 1) | F.col("b").isNotNull())
     flagged = flagged.select(F.col("s").alias("fs"), F.col("t").alias("ft"), F.col("at").alias("first"), F.col("b").isNotNull().alias("matched"))
@@ -199,10 +183,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_removed(docs: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    scratch = Scratch(docs.sparkSession, "removed")
     gone = removed_lines(docs).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("no")).alias("__gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "__id", "text_hash": "__h"})
+    gone = scratch.save(gone.withColumnsRenamed({"doc_id": "__id", "text_hash": "__h"}), "gone")
+    lines = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0]
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return hashed, gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h"))
+    return hashed, _small(gone, lines // 4), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="keyloom-"))
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="keyloom-")
+    return _OWN[sc.applicationId]
 
 
 def _path(spark: SparkSession, where: str):
@@ -41,9 +43,9 @@ class Scratch:
         fs.mkdirs(path)
         fs.deleteOnExit(path)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         where = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        df.write.mode("overwrite").option("compression", "zstd").options(**options).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def tidy(self) -> None:
