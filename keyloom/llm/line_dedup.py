@@ -30,10 +30,10 @@ DICTIONARY = {"parquet.dictionary.page.size": str(16 << 20)}
 
 def _lowered(text: Column) -> Column:
     """Lower case, with one kind of blank between words; only texts that have others are searched for each."""
-    blank = text
+    blank, others = text, F.lit(False)
     for c in "\t\x0b\x0c\r":
-        blank = F.replace(blank, F.lit(c), F.lit(" "))
-    return F.lower(F.when(text.rlike(r"[\x09\x0B-\x0D]"), blank).otherwise(text))
+        blank, others = F.replace(blank, F.lit(c), F.lit(" ")), others | F.contains(text, F.lit(c))
+    return F.lower(F.when(others, blank).otherwise(text))
 
 
 def _tokens(docs: DataFrame, scratch: Scratch) -> DataFrame:
