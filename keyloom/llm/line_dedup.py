@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]"
 #: Sets of a prefix word from which its earliest set is tried first, and rows up to which a side is broadcast.
 FAMILY, BROADCAST_ROWS = 16, 500_000
 #: Words of 64 bits of a signature; bits of a key that are not its level.
-WIDE, HASH_BITS = 4, 56
+WIDE, HASH_BITS = 3, 56
 SIG = [f"w{i}" for i in range(WIDE)]
 #: A dictionary of this many bytes holds the words of a written file, which then takes a few bytes a word.
 DICTIONARY = {"parquet.dictionary.page.size": str(16 << 20)}
@@ -78,7 +78,7 @@ def _signatures(tokens: DataFrame) -> DataFrame:
     """Of each row, a bit of WIDE * 64 for each of its words."""
     h = F.col("h")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
-    place = F.shiftrightunsigned(h, 32).bitwiseAND(WIDE - 1)
+    place = F.shiftrightunsigned(h, 32) % WIDE
     each = tokens.select("row", F.explode("words").alias("h")).select("row", place.alias("place"), bit.alias("bit"))
     return each.groupBy("row").agg(*[F.bit_or(F.when(F.col("place") == i, F.col("bit")).otherwise(0)).alias(c) for i, c in enumerate(SIG)])
 
@@ -124,6 +124,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, tokens: DataFrame, scratch: Scr
     left = pairs.join(_small(some.withColumnRenamed("b", "gone"), some.count()), F.col("b") == F.col("gone"), "left_anti")
     left = left.join(best.withColumnsRenamed({"b": "tried", "a": "with"}), (F.col("b") == F.col("tried")) & (F.col("a") == F.col("with")), "left_anti")
     rest = confirmed(left.select("a", "b"), "rest")
+    scratch.drop(*(f"{x}-{name}" for x in ("pairs", "held", "full", "best")))
     scratch.tidy()
     return some.unionByName(rest)
 
@@ -149,6 +150,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     rows = firsts.select("set", F.col("at.row").alias("row"))
     sets = lines.select("row", "n", "prefix").join(rows, "row").join(_signatures(tokens), "row")
     sets = scratch.save(sets.select("set", "n", *SIG, "prefix"), "sets")
+    lines = scratch.save(lines.select("doc_id", "text_hash", "no", "s", "t"), "keys")
+    scratch.drop("lines")
     scratch.tidy()
     postings = sets.select("set", "n", *SIG, F.posexplode("prefix").alias("pos", "word"))
 
@@ -177,7 +180,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     matched = first.unionByName(second).distinct()
     flagged = firsts.join(matched, F.col("set") == F.col("b"), "left").where((F.col("times") > 1) | F.col("b").isNotNull())
     flagged = flagged.select(F.col("s").alias("fs"), F.col("t").alias("ft"), F.col("at").alias("first"), F.col("b").isNotNull().alias("matched"))
-    out = lines.select("doc_id", "text_hash", "no", "s", "t").join(flagged, (F.col("s") == F.col("fs")) & (F.col("t") == F.col("ft")))
+    out = lines.join(flagged, (F.col("s") == F.col("fs")) & (F.col("t") == F.col("ft")))
     again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("no") == F.col("first.no")))
     return out.where(F.col("matched") | again).select("doc_id", "text_hash", "no").distinct()
 
