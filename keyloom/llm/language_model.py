@@ -41,7 +41,11 @@ ALL_CLASSES = END_CLASS + 1
 CONTEXTS = ALL_CLASSES
 #: The end of a text, as a word no text holds.
 END = np.uint64(0x5EED0FE4D0000001)
-_ZSTD = pa.Codec("zstd", 3)
+_ZSTD = pa.Codec("zstd", 1)
+#: Entries of a word's vector up to which it is scored entry by entry.
+FEW = 24
+#: Tables of packed columns are written as they are.
+PACKED = {"compression": "none"}
 
 
 def held_out() -> Column:
@@ -57,6 +61,15 @@ def _unpacked(x: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(_ZSTD.decompress(x[8:], n * np.dtype(kind).itemsize, asbytes=True) if n else b"", kind)
 
 
+def _packed_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers, by their steps."""
+    return _packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _unpacked_sorted(x: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(_unpacked(x, kind), dtype=np.int64)
+
+
 def _with_ends(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(hashes) + len(at) - 1, np.uint64)
     ends = at[1:] + np.arange(len(at) - 1)
@@ -68,16 +81,13 @@ def _with_ends(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _coded(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words in order, and for each token which it is; in less memory than np.unique takes."""
-    order = np.argsort(tokens)
-    tokens = tokens[order]
-    first = np.ones(len(tokens), bool)
-    np.not_equal(tokens[1:], tokens[:-1], out=first[1:])
-    words = tokens[first]
-    del tokens
-    codes = np.empty(len(order), np.uint32)
-    codes[order] = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
-    return words, codes
+    """Words in order, and for each token which it is; in less time and memory than np.unique takes."""
+    found = pa.array(tokens).dictionary_encode()
+    words = found.dictionary.to_numpy()
+    order = np.argsort(words)
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return words[order], place[found.indices.to_numpy()]
 
 
 def _chunked():
@@ -227,7 +237,7 @@ def _chunk_vectors(slices: int, ctx: np.ndarray, held: bytes, sizes: bytes, code
     cuts = np.searchsorted(key, (begins * (2 * CONTEXTS)).astype(kind))
     for i in np.flatnonzero(np.diff(begins)).tolist():
         own, n = _run_lengths(key[cuts[i] : cuts[i + 1]])
-        packed = _packed(words[at[begins[i] : begins[i + 1]]]), _packed((own - kind(begins[i] * 2 * CONTEXTS)).astype(np.uint32)), _packed(n)
+        packed = words[at[begins[i] : begins[i + 1]]].tobytes(), _packed_sorted((own - kind(begins[i] * 2 * CONTEXTS)).astype(np.uint32)), _packed(n)
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["slice", "words", "keys", "counts"])
 
 
@@ -269,12 +279,12 @@ def _by_slice(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple
 
 def _added(parts: list[tuple]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """Of a slice's rows (words, keys, counts): its words, where each row's words are in them, keys in order, counts."""
-    words = [_unpacked(p[0], np.uint64) for p in parts]
-    own, back = np.unique(np.concatenate(words), return_inverse=True)
-    back = np.split(back, np.cumsum([len(w) for w in words])[:-1])
+    words = [np.frombuffer(p[0], np.uint64) for p in parts]
+    own, back = _coded(np.concatenate(words))
+    back = np.split(back.astype(np.int64), np.cumsum([len(w) for w in words])[:-1])
     keys = []
     for to, p in zip(back, parts, strict=True):
-        key = _unpacked(p[1], np.uint32).astype(np.int64)
+        key = _unpacked_sorted(p[1], np.uint32)
         keys.append(to[key // (2 * CONTEXTS)] * (2 * CONTEXTS) + key % (2 * CONTEXTS))
     key, n = np.concatenate(keys), np.concatenate([_unpacked(p[2], np.uint32) for p in parts])
     order = np.argsort(key)
@@ -313,13 +323,28 @@ def _moves(slices: int):
 
 
 def _best(logs: np.ndarray, n_words: int, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The likeliest class of each word of a slice."""
-    out = np.zeros(n_words, np.uint8)
+    """The likeliest class of each word, from sorted keys (word * 2 * CONTEXTS + place) and their counts.
+
+    Most words have few entries, which are added up one by one; the vectors of the others are multiplied whole.
+    """
+    out, columns = np.zeros(n_words, np.uint8), np.ascontiguousarray(logs.T)
     for lo in range(0, n_words, 4096):
         hi = min(lo + 4096, n_words)
         a, b = np.searchsorted(key, [lo * 2 * CONTEXTS, hi * 2 * CONTEXTS])
-        x = np.bincount(key[a:b] - lo * 2 * CONTEXTS, weights=n[a:b], minlength=(hi - lo) * 2 * CONTEXTS)
-        out[lo:hi] = (x.reshape(hi - lo, 2 * CONTEXTS) @ logs.T).argmax(1)
+        row, place = np.divmod(key[a:b] - lo * 2 * CONTEXTS, 2 * CONTEXTS)
+        entries, count = np.bincount(row, minlength=hi - lo), n[a:b]
+        few = np.flatnonzero((entries > 0) & (entries <= FEW))
+        if len(few):
+            mine = (entries <= FEW)[row]
+            starts = np.cumsum(entries[few]) - entries[few]
+            out[lo + few] = np.add.reduceat(columns[place[mine]] * count[mine, None], starts).argmax(1)
+        many = np.flatnonzero(entries > FEW)
+        if len(many):
+            mine = (entries > FEW)[row]
+            at = np.zeros(hi - lo, np.int64)
+            at[many] = np.arange(len(many))
+            x = np.bincount(at[row[mine]] * 2 * CONTEXTS + place[mine], weights=count[mine], minlength=len(many) * 2 * CONTEXTS)
+            out[lo + many] = (x.reshape(len(many), 2 * CONTEXTS) @ columns).argmax(1)
     return out
 
 
@@ -348,7 +373,7 @@ def _exchange(scratch: Scratch, counted: DataFrame, placed: DataFrame, slices: i
     counted = counted.drop("keys")
     while True:
         moves = counted.join(placed, F.col("chunk") == F.col("c"), "left").mapInArrow(_moves(slices), "slice int, chunk long, words binary, keys binary, counts binary")
-        moves = scratch.save(moves, f"moves{rounds}")
+        moves = scratch.save(moves, f"moves{rounds}", **PACKED)
         steps = moves.where("slice = -1").select("counts").mapInArrow(_all_steps, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         table = np.zeros(ALL_CLASSES**2, np.int64)
         table[steps["at"].to_numpy(np.int64)] = steps["n"].to_numpy(np.int64)
@@ -361,7 +386,7 @@ def _exchange(scratch: Scratch, counted: DataFrame, placed: DataFrame, slices: i
             return kept
         logs = _logs(np.concatenate([table[:, :CLASSES].T, table[:CLASSES]], 1))
         moved = moves.where("slice >= 0").repartition("slice").sortWithinPartitions("slice").mapInArrow(_reassigned(logs), _ANSWERS)
-        placed = scratch.save(_gathered(moved), f"placed{rounds}")
+        placed = scratch.save(_gathered(moved), f"placed{rounds}", **PACKED)
         scratch.drop(f"moves{rounds}")
         scratch.tidy()
         rounds += 1
@@ -440,37 +465,37 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["c", "slice", "classes"])
 
 
-def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    words, row, place, count = _flat(batch)
-    out = np.bincount(row * (2 * CONTEXTS) + place, weights=count, minlength=len(words) * 2 * CONTEXTS)
-    return words, out.reshape(len(words), 2 * CONTEXTS)
-
-
 def _logs(table: np.ndarray) -> np.ndarray:
     """Smoothed log probabilities of contexts by class, before and after apart."""
     halves = [table[:, :CONTEXTS] + 0.1, table[:, CONTEXTS:] + 0.1]
     return np.concatenate([np.log(h / h.sum(1, keepdims=True)) for h in halves], 1)
 
 
+def _likeliest(logs: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Words with their classes, and of each entry of their vectors the row, place and count."""
+    words, row, place, count = _flat(batch)
+    return words, _best(logs, len(words), row * (2 * CONTEXTS) + place, count), row, place, count
+
+
 def _exchanged(logs: np.ndarray):
     """Counts of contexts by the classes that words move to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(logs), 2 * CONTEXTS))
-        for batch in textkit.tables(batches, 4096):
-            _, x = _dense(batch)
-            np.add.at(table, (x @ logs.T).argmax(1), x)
-        at = np.flatnonzero(table.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table.ravel()[at].astype(np.int64))], ["at", "n"])
+        table = np.zeros(len(logs) * 2 * CONTEXTS)
+        for batch in textkit.tables(batches, 65536):
+            _, classes, row, place, count = _likeliest(logs, batch)
+            table += np.bincount(classes[row].astype(np.int64) * (2 * CONTEXTS) + place, weights=count, minlength=len(table))
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], ["at", "n"])
 
     return run
 
 
 def _assigned(logs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.tables(batches, 4096):
-            words, x = _dense(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array((x @ logs.T).argmax(1).astype(np.int64))], ["word", "class"])
+        for batch in textkit.tables(batches, 65536):
+            words, classes, *_ = _likeliest(logs, batch)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(classes.astype(np.int64))], ["word", "class"])
 
     return run
 
@@ -590,7 +615,7 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     kind = packed.schema["key"].dataType.simpleString()
     parts = "held binary, sizes binary, codes binary"
     encoded = packed.mapInArrow(_chunked(), f"chunk long, keys array<{kind}>, {parts}, words binary, train binary")
-    encoded = scratch.save(encoded, "encoded")
+    encoded = scratch.save(encoded, "encoded", **PACKED)
 
     rows = encoded.select("chunk", "words", "train").mapInArrow(_word_rows, "word long, at long, n long")
     word = Window.partitionBy("word")
@@ -598,11 +623,11 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     rows = rows.select("at", F.when(F.col("at") == F.min("at").over(word), -1 - total).otherwise(total).alias("value"))
     chunk = F.shiftright("at", PLACE_BITS)
     rows = rows.repartition(chunk).sortWithinPartitions("at")
-    totals = scratch.save(rows.mapInArrow(_totals, "c long, totals binary, types long, once long, twice long"), "totals")
+    totals = scratch.save(rows.mapInArrow(_totals, "c long, totals binary, types long, once long, twice long"), "totals", **PACKED)
     scratch.tidy()
     types, once, twice = (x or 0 for x in totals.agg(F.sum("types"), F.sum("once"), F.sum("twice")).first())
     counted = encoded.join(totals.select("c", "totals"), F.col("chunk") == F.col("c"))
-    counted = scratch.save(counted.select("chunk", "keys", "held", "sizes", "codes", "words", "totals"), "counted")
+    counted = scratch.save(counted.select("chunk", "keys", "held", "sizes", "codes", "words", "totals"), "counted", **PACKED)
     scratch.drop("encoded")
     scratch.tidy()
 
@@ -615,12 +640,12 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     known = cluster(vectors).mapInArrow(_classes_of_words(slices), row)
     asked = counted.select("chunk", "words", "totals").mapInArrow(_often_of_chunks(slices), row)
     placed = known.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "chunk").mapInArrow(_looked_up, _ANSWERS)
-    placed = scratch.save(_gathered(placed), "placed")
+    placed = scratch.save(_gathered(placed), "placed", **PACKED)
     scratch.drop("vectors")
     scratch.tidy()
     placed = _exchange(scratch, counted, placed, slices)
     classed = counted.join(placed, F.col("chunk") == F.col("c"), "left")
-    classed = scratch.save(classed.mapInArrow(_classed(slices), f"keys array<{kind}>, {parts}, totals binary, classes binary"), "classed")
+    classed = scratch.save(classed.mapInArrow(_classed(slices), f"keys array<{kind}>, {parts}, totals binary, classes binary"), "classed", **PACKED)
     scratch.drop("counted")
     scratch.tidy()
 
