@@ -14,7 +14,9 @@ joined to the word lists, never to the tokens, and nothing of the size of the vo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ MIN_COUNT, CLASSES, ROUNDS = 1, 64, 2
 #: Nats a token that a round of exchange must gain for another one to follow.
 GAIN = 0.002
 #: Tokens of a chunk: about what a task reads, so that word lists repeat little.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 #: Tokens that passes over chunks look at in one go.
 SLICE = 1 << 20
 #: Weight of the class model, and smoothing of its transitions and of the unigrams.
@@ -61,6 +63,13 @@ def _unpacked(x: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(_ZSTD.decompress(x[8:], n * np.dtype(kind).itemsize, asbytes=True) if n else b"", kind)
 
 
+def _release() -> None:
+    """Gives freed memory back, which allocators keep: a task's peaks then are those of one chunk, not of all passes."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _packed_sorted(x: np.ndarray) -> bytes:
     """Ascending numbers, by their steps."""
     return _packed(np.diff(x, prepend=x.dtype.type(0)))
@@ -96,6 +105,7 @@ def _chunked():
     def chunk(number: int, parts: list[tuple]) -> pa.RecordBatch:
         keys, held, tokens, sizes = (x for x in zip(*parts, strict=True))
         parts.clear()
+        _release()
         keys, held, sizes = pa.concat_arrays(keys), np.concatenate(held), np.concatenate(sizes)
         tokens = np.concatenate(tokens)
         words, codes = _coded(tokens)
@@ -112,13 +122,16 @@ def _chunked():
         number, parts, n = TaskContext.get().partitionId() << 20, [], 0
         for batch in textkit.tables(batches, 512):
             hashes, at = textkit.words(batch.column(2))
-            parts.append((batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), _with_ends(hashes, at), np.diff(at) + 1))
+            # A copy of the keys, since a slice would keep the texts of its batch.
+            parts.append((batch.column(0).take(np.arange(batch.num_rows)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), _with_ends(hashes, at), np.diff(at) + 1))
             n += len(parts[-1][2])
             if n >= CHUNK:
                 yield chunk(number, parts)
                 number, parts, n = number + 1, [], 0
+                _release()
         if parts:
             yield chunk(number, parts)
+        _release()
 
     return run
 
@@ -233,12 +246,15 @@ def _chunk_vectors(slices: int, ctx: np.ndarray, held: bytes, sizes: bytes, code
     np.add(first, np.concatenate([each[1:], ends])[: len(each)][mine], out=key[m:])
     key[m:] += kind(CONTEXTS)
     del first, each, mine
+    _release()
     key.sort()
     cuts = np.searchsorted(key, (begins * (2 * CONTEXTS)).astype(kind))
     for i in np.flatnonzero(np.diff(begins)).tolist():
         own, n = _run_lengths(key[cuts[i] : cuts[i + 1]])
         packed = words[at[begins[i] : begins[i + 1]]].tobytes(), _packed_sorted((own - kind(begins[i] * 2 * CONTEXTS)).astype(np.uint32)), _packed(n)
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["slice", "words", "keys", "counts"])
+    del key
+    _release()
 
 
 def _vector_rows(words: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
