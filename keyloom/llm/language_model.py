@@ -43,7 +43,9 @@ ALL_CLASSES = END_CLASS + 1
 CONTEXTS = ALL_CLASSES
 #: The end of a text, as a word no text holds.
 END = np.uint64(0x5EED0FE4D0000001)
-_ZSTD = pa.Codec("zstd", 1)
+_ZSTD, _ZSTD_KEPT = pa.Codec("zstd", 1), pa.Codec("zstd", 3)
+#: Bytes up to which what belongs to chunks is broadcast to them; beyond, both are shuffled by chunk.
+BROADCAST_BYTES = 32 << 20
 #: Entries of a word's vector up to which it is scored entry by entry.
 FEW = 24
 #: Tables of packed columns are written as they are.
@@ -54,8 +56,8 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + _ZSTD.compress(np.ascontiguousarray(x).tobytes(), asbytes=True)
+def _packed(x: np.ndarray, kept: bool = False) -> bytes:
+    return len(x).to_bytes(8, "little") + (_ZSTD_KEPT if kept else _ZSTD).compress(np.ascontiguousarray(x).tobytes(), asbytes=True)
 
 
 def _unpacked(x: bytes, kind: type) -> np.ndarray:
@@ -70,6 +72,16 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _released(run):
+    """A pass over batches that gives its memory back at its end, since workers outlive it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return whole
+
+
 def _packed_sorted(x: np.ndarray) -> bytes:
     """Ascending numbers, by their steps."""
     return _packed(np.diff(x, prepend=x.dtype.type(0)))
@@ -112,7 +124,7 @@ def _chunked():
         train = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words))
         arrays = [
             pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-            *(pa.array([_packed(x)], pa.binary()) for x in (held, sizes.astype(np.uint32), codes, words, train.astype(np.uint32))),
+            *(pa.array([_packed(x, True)], pa.binary()) for x in (held, sizes.astype(np.uint32), codes, words, train.astype(np.uint32))),
         ]
         return pa.RecordBatch.from_arrays(arrays, ["chunk", "keys", "held", "sizes", "codes", "words", "train"])
 
@@ -388,7 +400,7 @@ def _exchange(scratch: Scratch, counted: DataFrame, placed: DataFrame, slices: i
     best, kept, rounds = -np.inf, placed, 0
     counted = counted.drop("keys")
     while True:
-        moves = counted.join(placed, F.col("chunk") == F.col("c"), "left").mapInArrow(_moves(slices), "slice int, chunk long, words binary, keys binary, counts binary")
+        moves = _with(counted, placed, _class_bytes()).mapInArrow(_released(_moves(slices)), "slice int, chunk long, words binary, keys binary, counts binary")
         moves = scratch.save(moves, f"moves{rounds}", **PACKED)
         steps = moves.where("slice = -1").select("counts").mapInArrow(_all_steps, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         table = np.zeros(ALL_CLASSES**2, np.int64)
@@ -401,13 +413,23 @@ def _exchange(scratch: Scratch, counted: DataFrame, placed: DataFrame, slices: i
             scratch.drop(f"moves{rounds}")
             return kept
         logs = _logs(np.concatenate([table[:, :CLASSES].T, table[:CLASSES]], 1))
-        moved = moves.where("slice >= 0").repartition("slice").sortWithinPartitions("slice").mapInArrow(_reassigned(logs), _ANSWERS)
+        moved = moves.where("slice >= 0").repartition("slice").sortWithinPartitions("slice").mapInArrow(_released(_reassigned(logs)), _ANSWERS)
         placed = scratch.save(_gathered(moved), f"placed{rounds}", **PACKED)
         scratch.drop(f"moves{rounds}")
         scratch.tidy()
         rounds += 1
 
 
+def _with(chunks: DataFrame, side: DataFrame, blobs: Column) -> DataFrame:
+    """Chunks with what ``side`` has for them, by its column c; blobs: the bytes of a row of it."""
+    size = side.agg(F.sum(blobs)).first()[0] or 0
+    return chunks.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("chunk") == F.col("c"), "left")
+
+
+def _class_bytes() -> Column:
+    return F.aggregate("classes", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
+
+
 def _all_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(ALL_CLASSES**2, np.int64)
     for batch in batches:
@@ -448,12 +470,14 @@ def _often_of_chunks(slices: int):
     return run
 
 
-def _classes_of_words(slices: int):
-    """Slices of the vocabulary with the classes of their words; chunk -1 sorts them before the chunks that ask."""
+def _classes_of_words(slices: int, logs: np.ndarray):
+    """Of vectors: slices of the vocabulary with the classes of their words; chunk -1 sorts them before the chunks that
+    ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, classes = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        for batch in textkit.tables(batches, 65536):
+            words, classes, *_ = _likeliest(logs, batch)
+            words = words.view(np.uint64)
             own = (textkit.mixed(words + textkit.U(1)) % textkit.U(slices)).astype(np.int32)
             for i in np.unique(own).tolist():
                 mine = own == i
@@ -517,11 +541,16 @@ def _assigned(logs: np.ndarray):
 
 
 def cluster(vectors: DataFrame) -> DataFrame:
-    """word, class of vectors (word, places, counts). Seeds are the most frequent words; ties go to the first class."""
+    """word, class of vectors (word, places, counts)."""
+    return vectors.mapInArrow(_assigned(_fitted(vectors)), "word long, class long")
+
+
+def _fitted(vectors: DataFrame) -> np.ndarray:
+    """Log probabilities of contexts by class. Seeds are the most frequent words; ties go to the first class."""
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, n: acc + n)
     seeds = vectors.withColumn("n", total).orderBy(F.desc("n"), "word").limit(CLASSES).collect()
     if not seeds:
-        return vectors.select("word", F.lit(0).cast("long").alias("class"))
+        return np.zeros((1, 2 * CONTEXTS))
     table = np.zeros((len(seeds), 2 * CONTEXTS))
     for i, r in enumerate(seeds):
         table[i, r.places] = r.counts
@@ -530,7 +559,7 @@ def cluster(vectors: DataFrame) -> DataFrame:
         table = np.zeros(len(seeds) * 2 * CONTEXTS)
         table[moved["at"].to_numpy()] = moved["n"].to_numpy()
         table = table.reshape(len(seeds), 2 * CONTEXTS)
-    return vectors.mapInArrow(_assigned(_logs(table)), "word long, class long")
+    return _logs(table)
 
 
 def _classed(slices: int):
@@ -633,43 +662,43 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     encoded = packed.mapInArrow(_chunked(), f"chunk long, keys array<{kind}>, {parts}, words binary, train binary")
     encoded = scratch.save(encoded, "encoded", **PACKED)
 
-    rows = encoded.select("chunk", "words", "train").mapInArrow(_word_rows, "word long, at long, n long")
+    rows = encoded.select("chunk", "words", "train").mapInArrow(_released(_word_rows), "word long, at long, n long")
     word = Window.partitionBy("word")
     total = F.sum("n").over(word)
     rows = rows.select("at", F.when(F.col("at") == F.min("at").over(word), -1 - total).otherwise(total).alias("value"))
     chunk = F.shiftright("at", PLACE_BITS)
     rows = rows.repartition(chunk).sortWithinPartitions("at")
-    totals = scratch.save(rows.mapInArrow(_totals, "c long, totals binary, types long, once long, twice long"), "totals", **PACKED)
+    totals = scratch.save(rows.mapInArrow(_released(_totals), "c long, totals binary, types long, once long, twice long"), "totals", **PACKED)
     scratch.tidy()
     types, once, twice = (x or 0 for x in totals.agg(F.sum("types"), F.sum("once"), F.sum("twice")).first())
-    counted = encoded.join(totals.select("c", "totals"), F.col("chunk") == F.col("c"))
+    counted = _with(encoded, totals.select("c", "totals"), F.octet_length("totals"))
     counted = scratch.save(counted.select("chunk", "keys", "held", "sizes", "codes", "words", "totals"), "counted", **PACKED)
     scratch.drop("encoded")
     scratch.tidy()
 
     slices = max(12, totals.count())  # of the vocabulary: what a task adds up stays as large as a chunk
-    vectors = counted.select("held", "sizes", "codes", "words", "totals").mapInArrow(_vectors(slices), "slice int, words binary, keys binary, counts binary")
-    vectors = vectors.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed, "word long, places array<short>, counts array<long>")
+    vectors = counted.select("held", "sizes", "codes", "words", "totals").mapInArrow(_released(_vectors(slices)), "slice int, words binary, keys binary, counts binary")
+    vectors = vectors.repartition("slice").sortWithinPartitions("slice").mapInArrow(_released(_summed), "word long, places array<short>, counts array<long>")
     vectors = scratch.save(vectors, "vectors")
     scratch.tidy()
     row = "slice int, chunk long, words binary, classes binary"
-    known = cluster(vectors).mapInArrow(_classes_of_words(slices), row)
-    asked = counted.select("chunk", "words", "totals").mapInArrow(_often_of_chunks(slices), row)
-    placed = known.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "chunk").mapInArrow(_looked_up, _ANSWERS)
+    known = vectors.mapInArrow(_released(_classes_of_words(slices, _fitted(vectors))), row)
+    asked = counted.select("chunk", "words", "totals").mapInArrow(_released(_often_of_chunks(slices)), row)
+    placed = known.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "chunk").mapInArrow(_released(_looked_up), _ANSWERS)
     placed = scratch.save(_gathered(placed), "placed", **PACKED)
     scratch.drop("vectors")
     scratch.tidy()
     placed = _exchange(scratch, counted, placed, slices)
-    classed = counted.join(placed, F.col("chunk") == F.col("c"), "left")
-    classed = scratch.save(classed.mapInArrow(_classed(slices), f"keys array<{kind}>, {parts}, totals binary, classes binary"), "classed", **PACKED)
+    classed = _with(counted, placed, _class_bytes())
+    classed = scratch.save(classed.mapInArrow(_released(_classed(slices)), f"keys array<{kind}>, {parts}, totals binary, classes binary"), "classed", **PACKED)
     scratch.drop("counted")
     scratch.tidy()
 
-    found = classed.select("held", "sizes", "codes", "totals", "classes").mapInArrow(_transitions, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = classed.select("held", "sizes", "codes", "totals", "classes").mapInArrow(_released(_transitions), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(2 * ALL_CLASSES**2, np.int64)
     counts[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     steps, new = counts.reshape(2, ALL_CLASSES, ALL_CLASSES)
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = classed.mapInArrow(_scored(steps, int(steps.sum()), int(types), int(once), int(twice), new), schema)
+    out = classed.mapInArrow(_released(_scored(steps, int(steps.sum()), int(types), int(once), int(twice), new)), schema)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select("key.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", perplexity.alias("perplexity"))
