@@ -22,6 +22,8 @@ from .store import Scratch
 WINDOW, GRAM = 13, 5
 #: Bits of the map of benchmark fingerprints, as a power of two; it is what tasks get, whatever the benchmark's size.
 MAP_BITS = 24
+#: Rows and spans up to which what was hit is broadcast to the texts; beyond, both are shuffled.
+BROADCAST_SPANS = 500_000
 _FP = "struct<cls:int,fp:long,pos:int,lead:int,near:binary>"
 _PLACE = textkit.U(64 - MAP_BITS)
 
@@ -168,13 +170,19 @@ def _without(text: Column, spans: Column) -> Column:
     return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows: those of whose words a twentieth or more is hit. The hit words of others are
-    cut out of their text; other columns stay as they are."""
+def clean(docs: DataFrame, benchmark: DataFrame, passages: bool = False) -> DataFrame:
+    """``docs`` without contaminated rows: those of whose words a twentieth or more is hit, and with ``passages`` all
+    that hold a whole window of WINDOW words, however long the rest is. The hit words of others are cut out of their
+    text; other columns stay as they are. Rows without hits stay untouched, whatever is null in them."""
+    bad = contaminated()
+    if passages:
+        bad = bad | F.exists("spans", lambda s: s["hi"] - s["lo"] >= WINDOW)
     hit = hits(docs, benchmark).where("n_hit > 0")
-    hit = hit.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans"), contaminated().alias("__bad")).dropDuplicates(["__id", "__h"])
+    hit = hit.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans"), bad.alias("__bad")).dropDuplicates(["__id", "__h"])
+    hit = Scratch(docs.sparkSession, "hit").save(hit, "hit")
+    size = hit.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()[0]
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h"))
-    rest = docs.join(hit, same, "left").where(~F.coalesce("__bad", F.lit(False)))
+    rest = docs.join(F.broadcast(hit) if size <= BROADCAST_SPANS else hit, same, "left").where(~F.coalesce("__bad", F.lit(False)))
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__spans")))
     return rest.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 

@@ -75,3 +75,15 @@ def test_passages_of_long_documents_are_cut(spark):
     assert got.columns == docs.columns
     assert sorted((str(r.doc_id), r.source, r.text) for r in got.collect()) == sorted([("1", "x", before + after), ("1", "y", before + after), ("None", "z", before + after), ("2", "x", "\t" + before + after)])
     assert decontamination.hits(got, bench).where("n_hit > 0").count() == 0
+
+
+def test_passages_drop_long_documents(spark):
+    r = random.Random(3)
+    passage = [f"p{i}" for i in range(13)]
+    rest = [f"w{r.randrange(10**6)}" for _ in range(5000)]
+    texts = {1: [*rest[:2500], *passage, *rest[2500:]], 2: rest, 3: [*rest[:2500], *passage[:12], *rest[2500:]], 4: [*rest, "short", "item"]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()] + [(5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(passage)), (1, "short item")], "item_id long, text string")
+    got = {x.doc_id: x.text for x in decontamination.clean(docs, bench, passages=True).collect()}
+    assert got.keys() == {2, 3, 4, 5}
+    assert got[2].split() == got[4].split() == rest and got[3].split() == texts[3] and got[5] is None
