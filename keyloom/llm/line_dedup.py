@@ -24,8 +24,9 @@ FAMILY, BROADCAST_ROWS = 16, 500_000
 #: Words of 64 bits of a signature; bits of a key that are not its level.
 WIDE, HASH_BITS = 3, 56
 SIG = [f"w{i}" for i in range(WIDE)]
-#: A dictionary of this many bytes holds the words of a written file, which then takes a few bytes a word.
-DICTIONARY = {"parquet.dictionary.page.size": str(16 << 20)}
+#: A dictionary of this many bytes holds the words of a written file, which then takes a few bytes a word; what is left
+#: to compress needs no effort.
+DICTIONARY = {"parquet.dictionary.page.size": str(16 << 20), "parquet.compression.codec.zstd.level": "1"}
 
 
 def _lowered(text: Column) -> Column:
