@@ -12,7 +12,7 @@ WHERE = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", ["interleave_order", *(f"{c}_roundtrip" for c in codecs.DENSE)])
 def test_every_order(spark, name):
     n = spark.read.parquet(f"{WHERE}/orders.parquet").count()
-    got = entry.queries()[f"dense_all_{name}"](spark, WHERE).selectExpr("bucket * 7 + partition_id AS key", "pilot")
+    got = entry.queries()[f"dense_{name}"](spark, WHERE).selectExpr("bucket * 7 + partition_id AS key", "pilot")
     want = spark.read.parquet(f"{WHERE}/orders.parquet").selectExpr("o_orderkey AS key", "o_custkey % 900 AS pilot")
     assert got.count() == n == got.join(want, ["key", "pilot"]).distinct().count()
 
