@@ -436,10 +436,13 @@ def free_slots_summary(spark: SparkSession, sf: str) -> DataFrame:
     return summed
 
 
-@_query(f"{_BOTH} SELECT count(DISTINCT {_SKEW}) AS buckets, true AS all_there FROM hh")
+@_query(f"""{_BOTH}, sized AS (SELECT ceil(count(*) / {_LAM}::DOUBLE)::UBIGINT AS b, floor(0.3::DOUBLE * ceil(count(*) / {_LAM}::DOUBLE))::UBIGINT AS d FROM hh)
+SELECT count(DISTINCT CASE WHEN h1 < {bucketing.DENSE_BOUND}::UBIGINT THEN h1 % d ELSE d + h1 % (b - d) END) AS buckets, true AS all_there FROM hh, sized""")
 def pilots_complete(spark: SparkSession, sf: str) -> DataFrame:
-    index = build_single(_orders(spark, sf), "key", _config("single", num_buckets=_B))
-    there = stages.bucket_sizes(_pairs(spark, sf)).join(index.pilots, ["partition_id", "bucket"], "left")
+    keys = _orders(spark, sf)
+    index = build_single(keys, "key", _config("single"))
+    pairs = stages.bucketed(_hashed(spark, sf).withColumn("partition_id", F.lit(0).cast("long")), "skew", bucket_count(keys.count(), _LAM), _LAM, _ALPHA)
+    there = stages.bucket_sizes(pairs).join(index.pilots, ["partition_id", "bucket"], "left")
     return there.agg(F.count("pilot").alias("buckets"), (F.count("pilot") == F.count(F.lit(1))).alias("all_there"))
 
 
