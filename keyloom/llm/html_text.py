@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 
 from . import textkit
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Quotes count after = only; one that is never closed, like a tag that is not, runs to the end of the page.
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
 
 
 def _names(x: str) -> frozenset[str]:
@@ -31,9 +35,9 @@ def _names(x: str) -> frozenset[str]:
 #: Classes of elements as the HTML standard has them.
 VOID = _names("area base br col embed hr img input link meta param source track wbr")
 RAW = _names("script style xmp iframe noembed noframes noscript textarea title plaintext")
-UNSEEN = _names("head script style template title noscript iframe noembed noframes object audio video canvas datalist svg math meta link base col colgroup rp area param source track")
+UNSEEN = _names("head script style template title noscript iframe noembed noframes object audio video canvas datalist meta link base col colgroup rp area param source track desc metadata defs symbol annotation annotation-xml")
 MARGIN = _names("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre listing xmp figure table fieldset form hr")
-BLOCK = MARGIN | _names("html body address article aside center details dialog div dd dt figcaption footer header hgroup legend li main nav section summary caption optgroup option search tr td th thead tbody tfoot")
+BLOCK = MARGIN | _names("html body address article aside center details dialog div dd dt figcaption footer header hgroup legend li main nav section summary caption optgroup option search tr td th thead tbody tfoot text foreignobject")
 ENDS_P = _names("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre listing section summary table ul search xmp plaintext li dd dt")
 HEADINGS = _names("h1 h2 h3 h4 h5 h6")
 SCOPE = _names("html body table td th caption template object marquee applet")
@@ -155,10 +159,14 @@ class Table:
 
 
 class Renderer:
-    def __init__(self) -> None:
+    """items: of each reversed list without a start, in order, how many items it has, as an earlier pass has found."""
+
+    def __init__(self, items: list[int] | None = None) -> None:
         self.out = Out()
         self.hidden = 0
+        self.unseen = False  # by visibility, which what is inside can take back
         self.pre = 0
+        self.items, self.reversed = items, []
         self.flows: list[Out] = []
         self.tables: list[Table] = []
         self.lists: list[list] = []
@@ -166,8 +174,10 @@ class Renderer:
 
     def open(self, name: str, attrs: dict[str, str]) -> dict:
         """What close needs. attrs: only asked for if there are any."""
-        state = {"name": name, "hidden": self.hidden}
+        state = {"name": name, "hidden": self.hidden, "unseen": self.unseen}
         style = attrs.get("style")
+        if style and (said := VISIBILITY.findall(style)):
+            self.unseen = said[-1].lower() != "visible"
         closed = name == "details" and "open" not in attrs
         if name == "summary" and self.shut and self.shut[-1]:
             self.hidden -= 1
@@ -180,11 +190,11 @@ class Renderer:
             return state
         out = self.out
         if name == "br":
-            out.end_line(keep=True)
+            out.end_line(keep=not self.unseen)
         elif name in CELLS and self.tables:
             self.flows.append(out)
             self.out = Out()
-            state["spans"] = (_number(attrs.get("colspan"), 1, 1000), _number(attrs.get("rowspan"), 1, 65534))
+            state["spans"] = tuple(max(1, _number(attrs.get(x), 1, most)) for x, most in (("colspan", 1000), ("rowspan", 65534)))
         elif name in BLOCK:
             nested = name in ("ul", "ol", "menu", "dir") and self.lists
             (out.margin if name in MARGIN and not nested else out.end_line)()
@@ -196,9 +206,16 @@ class Renderer:
             elif name == "tr" and self.tables:
                 self.tables[-1].row()
             elif name in ("ul", "ol", "menu", "dir"):
-                self.lists.append([name == "ol", _number(attrs.get("start"), 1, 10**9), -1 if "reversed" in attrs else 1])
+                back, first, place = name == "ol" and "reversed" in attrs, 1, -1
+                if back:
+                    place = len(self.reversed)
+                    first = self.items[place] if self.items else 1
+                    self.reversed.append(0)
+                self.lists.append([name == "ol", _number(attrs.get("start"), first, 10**9), -1 if back else 1, place])
             elif name == "li":
-                kind = self.lists[-1] if self.lists else [False, 1, 1]
+                kind = self.lists[-1] if self.lists else [False, 1, 1, -1]
+                if kind[3] >= 0:
+                    self.reversed[kind[3]] += 1
                 if kind[0]:
                     at = _number(attrs.get("value"), kind[1], 10**9)
                     kind[1] = at + kind[2]
@@ -213,12 +230,13 @@ class Renderer:
                 self.pre += 1
         elif name == "textarea":
             self.pre += 1
-        elif name == "q":
+        elif name == "q" and not self.unseen:
             out.put('"')
         return state
 
     def close(self, state: dict) -> None:
         name = state["name"]
+        unseen, self.unseen = self.unseen, state["unseen"]
         self.hidden = state["hidden"]
         self.shut.pop()
         if not state["seen"]:
@@ -243,18 +261,18 @@ class Renderer:
                 out.marker = ""
         elif name == "textarea":
             self.pre -= 1
-        elif name == "q":
+        elif name == "q" and not unseen:
             self.out.space = False
             self.out.now.append('"')
 
     def text(self, text: str) -> None:
-        if not self.hidden and text:
+        if not self.hidden and not self.unseen and text:
             (self.out.put_pre if self.pre else self.out.put)(text)
 
 
 def _number(x: str | None, default: int, most: int) -> int:
     m = re.match(r"\s*(-?[0-9]{1,9})", x or "")
-    return min(int(m[1]), most) if m and (int(m[1]) > 0 or default != 1) else default
+    return min(int(m[1]), most) if m else default
 
 
 def _attrs(x: str) -> dict[str, str]:
@@ -267,20 +285,39 @@ def _attrs(x: str) -> dict[str, str]:
 
 
 class TreeBuilder:
-    def __init__(self) -> None:
+    """Open elements are numbered as they open, and listed by name, so that no question about them walks the stack."""
+
+    def __init__(self, items: list[int] | None = None) -> None:
         self.stack: list[dict] = []
-        self.to = Renderer()
+        self.to = Renderer(items)
+        self.named: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.opened = 0
+
+    def _push(self, state: dict) -> None:
+        self.opened += 1
+        state["no"], name = self.opened, state["name"]
+        self.stack.append(state)
+        for own in self._lists(name):
+            own.append(self.opened)
+
+    def _lists(self, name: str) -> list[list[int]]:
+        return [self.named[name]] + [self.blocks] * (name in BLOCK) + [self.scopes] * (name in SCOPE)
 
     def _pop(self) -> None:
-        self.to.close(self.stack.pop())
+        state = self.stack.pop()
+        for own in self._lists(state["name"]):
+            own.pop()
+        self.to.close(state)
+
+    def _last(self, names: frozenset[str]) -> int:
+        """The number of the innermost open element of these names; 0 without."""
+        return max([own[-1] for x in names if (own := self.named.get(x))], default=0)
 
     def _within(self, names: frozenset[str], bounds: frozenset[str]) -> bool:
-        for x in reversed(self.stack):
-            if x["name"] in names:
-                return True
-            if x["name"] in bounds:
-                return False
-        return False
+        at = self._last(names)
+        return at > 0 and at >= self._last(bounds)
 
     def _close(self, names: frozenset[str], bounds: frozenset[str]) -> None:
         while self._within(names, bounds):
@@ -291,31 +328,24 @@ class TreeBuilder:
     def _past_blocks(self, name: str) -> bool:
         """Whether an inline element's end stands inside a block that began in it. The block stays open; a formatting
         element that shows is taken out from under it, any other stays too."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            state = self.stack[i]
-            if state["name"] == name:
-                return False
-            if state["name"] in BLOCK:
-                break
-        else:
-            return True
-        if name in FORMATTING:
-            for j in range(i - 1, -1, -1):
-                state = self.stack[j]
-                if state["name"] == name:
-                    if state["seen"]:
-                        del self.stack[j]
-                        del self.to.shut[j]
-                    break
-                if state["name"] in SCOPE:
-                    break
+        own = self.named.get(name) or [0]
+        block = self.blocks[-1] if self.blocks else 0
+        if own[-1] > block:
+            return False
+        if own[-1] and name in FORMATTING:
+            below = bisect_left(self.scopes, block) - 1
+            if below < 0 or self.scopes[below] < own[-1]:
+                at = bisect_left(self.stack, own[-1], key=lambda x: x["no"])
+                if self.stack[at]["seen"]:
+                    del self.stack[at], self.to.shut[at]
+                    own.pop()
         return True
 
     def start(self, name: str, attrs: dict[str, str]) -> None:
         if name in ("html", "body", "head"):
-            if name != "html" and any(x["name"] == "head" for x in self.stack):
+            if name != "html":
                 self._close(frozenset(["head"]), frozenset())
-            if any(x["name"] in (name, "body") for x in self.stack):
+            if self.named.get(name) or self.named.get("body"):
                 return
         elif self.stack and self.stack[-1]["name"] == "head" and name not in IN_HEAD:
             self._pop()
@@ -335,7 +365,7 @@ class TreeBuilder:
         if name in VOID:
             self.to.close(state)
         else:
-            self.stack.append(state)
+            self._push(state)
 
     def end(self, name: str) -> None:
         if name == "p" and not self._within(frozenset(["p"]), SCOPE | {"button"}):
@@ -368,7 +398,14 @@ def page_text(page: str | None) -> str | None:
     """Visible text of a page; null for null, empty for a page without any."""
     if page is None:
         return None
-    build, at, n = TreeBuilder(), 0, len(page)
+    build = _built(page, None)
+    if build.to.reversed:  # numbered from how many items they have
+        build = _built(page, build.to.reversed)
+    return build.done()
+
+
+def _built(page: str, items: list[int] | None) -> TreeBuilder:
+    build, at, n = TreeBuilder(items), 0, len(page)
     while at < n:
         lt = page.find("<", at)
         m = TOKEN.match(page, lt) if lt >= 0 else None
@@ -384,6 +421,8 @@ def page_text(page: str | None) -> str | None:
         at = m.end()
         if not m[2]:
             continue
+        if not m[4]:  # a tag that the page ends in
+            break
         name = m[2].lower()
         if m[1]:
             build.end(name)
@@ -399,7 +438,7 @@ def page_text(page: str | None) -> str | None:
             if raw:
                 build.text(html.unescape(raw) if name in ("textarea", "title") else raw)
             at = stop
-    return build.done()
+    return build
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
