@@ -22,6 +22,8 @@ from . import textkit
 DIMS, LONGEST = 1 << 13, 3
 #: The bound of the sample that centroids are fitted on, for each language, and centroids of each.
 PER_LANGUAGE, CENTROIDS, ROUNDS = 400, 4, 12
+#: Parts of a language in which the least hashes are sought at first.
+PARTS = 16
 #: A text of FULL n-grams or more is rejected below this cosine; the cosine asked for falls with the root of fewer.
 LEAST_COSINE, FULL = 0.2, 400
 UNKNOWN = "und"
@@ -135,6 +137,21 @@ class Model:
         return names, np.where(letters, cosine, 0.0), ~letters | far
 
 
+def _sample(known: DataFrame) -> DataFrame | None:
+    """lang, text, h of at most PER_LANGUAGE documents a language, those of the least hashes of doc_id and text; rows
+    alike in both are one. The least are taken in PARTS parts of each language first, and then of what is left."""
+    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    least = hashed.select("lang", "h", F.pmod("h", F.lit(PARTS)).alias("part"))
+    for by in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+        least = least.withColumn("r", place).where(F.col("r") <= PER_LANGUAGE).drop("r")
+    cuts = least.groupBy("lang").agg(F.max("h").alias("cut")).collect()
+    if not cuts:
+        return None
+    cut = F.create_map(*[F.lit(x) for r in cuts for x in (r.lang, r.cut)])
+    return hashed.where(F.col("h") <= F.element_at(cut, F.col("lang"))).dropDuplicates(["lang", "h"])
+
+
 def fit(docs: DataFrame) -> Model:
     """Learns from text and lang of ``docs``; rows without either are left out. No rows give a model without languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -142,13 +159,9 @@ def fit(docs: DataFrame) -> Model:
     for place, n in known.select("text").mapInArrow(_frequencies, "place int, n long").groupBy("place").agg(F.sum("n")).collect():
         df[place + 1] = n
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-    hashed = known.withColumn("h", F.xxhash64("doc_id", F.length("text")))
-    ranked = hashed.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    cuts = ranked.where(F.col("r") <= PER_LANGUAGE).groupBy("lang").agg(F.max("h").alias("cut")).collect()
-    if not cuts:
+    sample = _sample(known)
+    if sample is None:
         return Model(idf, [], np.zeros((0, DIMS), np.float32))
-    cut = F.create_map(*[F.lit(x) for r in cuts for x in (r.lang, r.cut)])
-    sample = hashed.where(F.col("h") <= F.element_at(cut, F.col("lang"))).select("lang", "text", "h")
     sample = sample.mapInArrow(_vectorised(idf), "lang string, h long, vector binary")
     fitted = sample.groupBy("lang").applyInPandas(_clustered, "lang string, vector binary").collect()
     fitted = sorted(fitted, key=lambda r: r.lang)

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import language, textkit
 
@@ -45,3 +46,12 @@ def test_no_training_rows(spark):
     model = language.fit(docs)
     assert [r.lang_pred for r in language.identify(docs, model).collect()] == ["und"]
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_sample_keeps_its_bound(spark):
+    some = spark.range(2 * language.PER_LANGUAGE).select(
+        F.lit(None).cast("long").alias("doc_id"), F.format_string("words of text %06d", "id").alias("text"), F.lit("en").alias("lang")
+    )
+    assert language._sample(some).count() == language.PER_LANGUAGE
+    assert language._sample(some.withColumn("text", F.lit("one text"))).count() == 1
+    assert language._sample(some.limit(0)) is None
