@@ -4,7 +4,8 @@ A shard keeps, for each dimension and sign, the rows with such a component and t
 its dimensions with the sign that raises the score; |q| times the largest component bounds what a term can add. With
 terms by falling bound, those whose bounds together cannot lift a row to the k-th best score so far are non-essential:
 only the postings of the others are traversed, and the rows met are probed in the rest while they are competitive.
-Each shard gives its k best of each query, and these are merged.
+Each shard gives its k best of each query, and these are merged. Many queries are dealt to blocks; each pair of a shard
+and a block is a task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .store import Scratch
 #: a query by each of its strongest terms, and dimensions probed between two looks at the threshold.
 SHARD_ROWS, LEAST_SHARDS, SHARD_LEAST = 65_536, 12, 2_048
 SEED_TERMS, SEED_ROWS, PROBES = 12, 24, 8
+#: Queries that one task asks of a shard on the average.
+BLOCK = 8_192
 
 
 class Shard:
@@ -107,7 +110,7 @@ def _stacked(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _searched(k: int):
-    """Rows come by shard, first those of the shard, then the queries, one after another."""
+    """Rows come by shard and block, first those of the shard, then the queries of the block, one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, rows, shard = None, [], [], None
@@ -149,11 +152,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     whole = F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
     rows = vectors.where(whole).select(F.monotonically_increasing_id().alias("row"), "id", "vector", is_query.alias("asks"))
     rows = scratch.save(rows, "rows")
-    n = rows.count()
+    n, queries = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     shards = max(1, -(-n // SHARD_ROWS), min(LEAST_SHARDS, n // SHARD_LEAST))
-    stored = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "row", "id", "vector")
-    asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "row", "id", "vector")
-    by_shard = stored.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    blocks = max(1, -(-queries // BLOCK))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda k: F.pmod(F.xxhash64("row"), F.lit(k)).cast("int")
+    stored = rows.select(dealt(shards).alias("shard"), each(blocks).alias("block"), F.lit(False).alias("asks"), "row", "id", "vector")
+    asked = rows.where("asks").select(each(shards).alias("shard"), dealt(blocks).alias("block"), F.lit(True).alias("asks"), "row", "id", "vector")
+    placed = stored.unionByName(asked).select((F.col("shard") * blocks + F.col("block")).alias("place"), "asks", "row", "id", "vector")
+    by_shard = placed.repartitionById(shards * blocks, "place").sortWithinPartitions("place", "asks")
     found = by_shard.mapInArrow(_searched(k), "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

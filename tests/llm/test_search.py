@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from keyloom.llm import search
 
@@ -52,3 +53,12 @@ def test_prunes(monkeypatch):
     query[:4] = [100, 80, 3, 2]
     ids, scores = shard.best(-1, query, 5)
     assert scores.tolist() == sorted((rows @ query).tolist(), reverse=True)[:5] and met[0] < 500
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    rows = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(6)), lambda d: F.pmod(F.xxhash64("id", d), F.lit(41)) - 20).alias("vector"))
+    asks = F.col("id") % 3 == 0
+    whole = search.top_k(rows, asks).collect()
+    monkeypatch.setattr(search, "BLOCK", 17)
+    monkeypatch.setattr(search, "SHARD_ROWS", 90)
+    assert len(whole) == 500 and sorted(search.top_k(rows, asks).collect()) == sorted(whole)
