@@ -18,7 +18,8 @@ from .store import Scratch
 
 THRESHOLD = 0.85
 CLASS_BITS = 18
-WORD = r"[^\x20\x09-\x0D]"
+#: Files whose classes one task counts, where there are enough files for all cores.
+COUNTED = 4
 #: Sets of a prefix word from which its earliest set is tried first, and rows up to which a side is broadcast.
 FAMILY, BROADCAST_ROWS = 16, 500_000
 #: Words of 64 bits of a signature; bits of a key that are not its level.
@@ -40,29 +41,33 @@ def _lowered(text: Column) -> Column:
 def _tokens(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """row, doc_id, text_hash, no (from 1), words (distinct hashes) of the lines that have words."""
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(_lowered(text), "\n", -1)).alias("no", "line")).where(F.col("line").rlike(WORD))
-    words = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    lines = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(_lowered(text), "\n", -1)).alias("no", "line"))
+    words = F.array_except(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
     lines = lines.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", (F.col("no") + 1).alias("no"), words.alias("words"))
-    return scratch.save(lines, "tokens", **DICTIONARY)
+    return scratch.save(lines.where(F.size("words") > 0), "tokens", **DICTIONARY)
 
 
 def _levels(tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row: the level of each class of words. Gathered in two steps, so that no task sorts all classes."""
+    """One row: the level of each class of words, as the upper bits of its keys. Gathered in two steps, so that no task
+    sorts all classes. A task counts several files, as each passes on a row for nearly every class."""
     size, part = 1 << CLASS_BITS, 1 << (CLASS_BITS // 2)
-    counts = tokens.select(F.explode("words").alias("h")).select(F.col("h").bitwiseAND(size - 1).alias("c")).groupBy("c").count()
+    tasks = max(tokens.sparkSession.sparkContext.defaultParallelism, len(tokens.inputFiles()) // COUNTED)
+    counts = tokens.coalesce(tasks).select(F.explode("words").alias("h")).select(F.col("h").bitwiseAND(size - 1).alias("c")).groupBy("c").count()
     every = tokens.sparkSession.range(size).join(counts, F.col("id") == F.col("c"), "left")
-    level = F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("byte")
+    level = F.shiftleft(F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("long"), HASH_BITS)
     in_order = lambda x, by: F.transform(F.sort_array(F.collect_list(F.struct(by, x))), lambda s: s[x])
     parts = every.select("id", level.alias("level"), F.floor(F.col("id") / part).alias("part")).groupBy("part").agg(in_order("level", "id").alias("levels"))
     return scratch.save(parts.agg(F.flatten(in_order("levels", "part")).alias("levels")), "levels")
 
 
 def _keys(words: Column, levels: Column) -> Column:
-    """Words by rarity: the level of the class, then the upper bits of the hash."""
+    """Words by rarity: the level of the class, then the upper bits of the hash. Keys are never null, and Spark is told
+    so: it then sorts plain numbers."""
     size = (1 << CLASS_BITS) - 1
 
     def key(h: Column) -> Column:
-        return F.shiftleft(F.get(levels, h.bitwiseAND(size).cast("int")).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+        level = F.get(levels, h.bitwiseAND(size).cast("int"))
+        return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS)), F.lit(0).cast("long"))
 
     return F.sort_array(F.transform(words, key))
 
@@ -160,7 +165,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     wide = scratch.save(wide.select("word", "head"), "wide")
     side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("set", "n", "pos", *SIG)]
     few = wide.count()
-    heads = postings.select("word", *side("a")).join(_small(wide.withColumnRenamed("word", "w"), few), (F.col("word") == F.col("w")) & (F.col("head") == F.col("a_set"))).drop("word", "head")
+    leading = wide.select(F.col("head").alias("set")).distinct()
+    leading = sets.join(_small(leading, few), "set", "left_semi").select("set", "n", *SIG, F.posexplode("prefix").alias("pos", "word"))
+    heads = leading.select("word", *side("a")).join(_small(wide.withColumnRenamed("word", "w"), few), (F.col("word") == F.col("w")) & (F.col("head") == F.col("a_set"))).drop("word", "head")
     heads = scratch.save(heads, "heads")
     scratch.tidy()
     near = postings.select("word", *side("b")).join(_small(heads, few), (F.col("word") == F.col("w")) & (F.col("a_set") < F.col("b_set")) & _fits("a_", "b_"))
