@@ -48,13 +48,12 @@ def _tokens(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _levels(tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row: the level of each class of words, as the upper bits of its keys. Gathered in two steps, so that no task
-    sorts all classes. A task counts several files, as each passes on a row for nearly every class."""
+    """One row: the level of each class of words. Gathered in two steps, so that no task sorts all classes. A task counts several files, as each passes on a row for nearly every class."""
     size, part = 1 << CLASS_BITS, 1 << (CLASS_BITS // 2)
     tasks = max(tokens.sparkSession.sparkContext.defaultParallelism, len(tokens.inputFiles()) // COUNTED)
     counts = tokens.coalesce(tasks).select(F.explode("words").alias("h")).select(F.col("h").bitwiseAND(size - 1).alias("c")).groupBy("c").count()
     every = tokens.sparkSession.range(size).join(counts, F.col("id") == F.col("c"), "left")
-    level = F.shiftleft(F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("long"), HASH_BITS)
+    level = F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("byte")
     in_order = lambda x, by: F.transform(F.sort_array(F.collect_list(F.struct(by, x))), lambda s: s[x])
     parts = every.select("id", level.alias("level"), F.floor(F.col("id") / part).alias("part")).groupBy("part").agg(in_order("level", "id").alias("levels"))
     return scratch.save(parts.agg(F.flatten(in_order("levels", "part")).alias("levels")), "levels")
@@ -66,7 +65,7 @@ def _keys(words: Column, levels: Column) -> Column:
     size = (1 << CLASS_BITS) - 1
 
     def key(h: Column) -> Column:
-        level = F.get(levels, h.bitwiseAND(size).cast("int"))
+        level = F.shiftleft(F.get(levels, h.bitwiseAND(size).cast("int")).cast("long"), HASH_BITS)
         return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS)), F.lit(0).cast("long"))
 
     return F.sort_array(F.transform(words, key))
