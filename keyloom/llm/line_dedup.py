@@ -48,7 +48,10 @@ def _tokens(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _levels(tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row: the level of each class of words. Gathered in two steps, so that no task sorts all classes. A task counts several files, as each passes on a row for nearly every class."""
+    """One row: the level of each class of words. Gathered in two steps, so that no task sorts all classes.
+
+    A task counts several files, as each passes on a row for nearly every class.
+    """
     size, part = 1 << CLASS_BITS, 1 << (CLASS_BITS // 2)
     tasks = max(tokens.sparkSession.sparkContext.defaultParallelism, len(tokens.inputFiles()) // COUNTED)
     counts = tokens.coalesce(tasks).select(F.explode("words").alias("h")).select(F.col("h").bitwiseAND(size - 1).alias("c")).groupBy("c").count()
