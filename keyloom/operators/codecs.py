@@ -46,6 +46,31 @@ def ones_at(blob: bytes, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8), bitorder="little"))[:n]
 
 
+def read_at(blob: bytes, width: int, at: np.ndarray) -> np.ndarray:
+    """The values at some places of what ``pack`` made; other places are not read."""
+    if not width or not len(at):
+        return np.zeros(len(at), np.uint64)
+    place = at[:, None] * width + np.arange(width)
+    bits = (np.frombuffer(blob, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8)) & np.uint8(1)
+    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+class Ones:
+    """Places of ones in a blob by their number, from counts of the bytes before."""
+
+    def __init__(self, blob: bytes):
+        self.bytes = np.frombuffer(blob, np.uint8)
+        self.counts = np.bitwise_count(self.bytes)
+        self.upto = np.cumsum(self.counts, dtype=np.int64)
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The place of each one, numbered from 0; -1 for -1."""
+        of = np.searchsorted(self.upto, np.maximum(k, 0), side="right")
+        left = np.maximum(k, 0) - (self.upto[of] - self.counts[of])
+        seen = np.unpackbits(self.bytes[of][:, None], axis=1, bitorder="little").cumsum(1)
+        return np.where(k < 0, -1, of * 8 + (seen == left[:, None] + 1).argmax(1))
+
+
 def rice_parameter(total: float, n: int) -> int:
     if not n or not total:
         return 0
@@ -95,6 +120,11 @@ class Rice:
         gaps = np.diff(np.concatenate([[-1], ends])) - 1
         return (gaps.astype(np.uint64) << np.uint64(width)) | unpack(low, width, n)
 
+    @staticmethod
+    def access(width: int, high: bytes, low: bytes, at: np.ndarray) -> np.ndarray:
+        ones = Ones(high)
+        return ((ones.select(at) - ones.select(at - 1) - 1).astype(np.uint64) << np.uint64(width)) | read_at(low, width, at)
+
     @staticmethod
     def bits(v: np.ndarray) -> int:
         width = rice_parameter(float(v.sum(dtype=np.float64)), len(v))
@@ -114,6 +144,10 @@ class Compact:
     def decode(width: int, n: int, high: bytes, low: bytes) -> np.ndarray:
         return unpack(low, width, n)
 
+    @staticmethod
+    def access(width: int, high: bytes, low: bytes, at: np.ndarray) -> np.ndarray:
+        return read_at(low, width, at)
+
     @staticmethod
     def bits(v: np.ndarray) -> int:
         return (int(v.max()).bit_length() if len(v) else 0) * len(v) + 64 + 8
@@ -133,6 +167,10 @@ class EliasFano:
     def decode(width: int, n: int, high: bytes, low: bytes) -> np.ndarray:
         return ((ones_at(high, n) - np.arange(n)).astype(np.uint64) << np.uint64(width)) | unpack(low, width, n)
 
+    @staticmethod
+    def access(width: int, high: bytes, low: bytes, at: np.ndarray) -> np.ndarray:
+        return ((Ones(high).select(at) - at).astype(np.uint64) << np.uint64(width)) | read_at(low, width, at)
+
     @staticmethod
     def bits(v: np.ndarray) -> int:
         width = low_bits(len(v), int(v[-1]) + 1) if len(v) else 0
@@ -146,9 +184,11 @@ def to_diff(v: np.ndarray, step: int) -> np.ndarray:
     return (np.abs(d).astype(np.uint64) << np.uint64(1)) | (d >= 0).astype(np.uint64)
 
 
-def from_diff(x: np.ndarray, step: int) -> np.ndarray:
+def from_diff(x: np.ndarray, step: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The values again, of all places or of those in ``at``."""
     d = (x >> np.uint64(1)).astype(np.int64)
-    return (np.where(x & np.uint64(1), d, -d) + np.arange(len(x), dtype=np.int64) * step).astype(np.int64)
+    at = np.arange(len(x), dtype=np.int64) if at is None else at
+    return (np.where(x & np.uint64(1), d, -d) + at * step).astype(np.int64)
 
 
 def diff_column(v: Column, i: Column, step: Column) -> Column:
@@ -156,10 +196,12 @@ def diff_column(v: Column, i: Column, step: Column) -> Column:
     return F.shiftleft(F.abs(d), 1).bitwiseOR(F.when(d >= 0, 1).otherwise(0).cast("long"))
 
 
-#: Encoders by name; others with encode, decode and bits can be added.
+#: Encoders by name; others with encode, decode, access and bits can be added.
 CODECS = {"rice": Rice, "compact": Compact, "elias_fano": EliasFano}
 #: Values of a mono sequence that are encoded in one go; longer sequences are cut into ranges of so many.
 MONO_BLOCK = 1 << 20
+#: Places of a sequence that are read in one go.
+ACCESS_BLOCK = 1 << 16
 #: Names of dense encoders: one sequence over interleaved pilots (mono), or one for each bucket (inter).
 DENSE = {"mono_r": ("mono", "rice"), "inter_r": ("inter", "rice"), "mono_c": ("mono", "compact"), "inter_c": ("inter", "compact")}
 
@@ -219,6 +261,30 @@ def decode(encoded: DataFrame) -> DataFrame:
     return encoded.mapInPandas(run, "g long, i long, v long")
 
 
+def access(encoded: DataFrame, asked: DataFrame) -> DataFrame:
+    """g, i, v: the values at the places (g, i) of ``asked``, each once, read without decoding the sequences.
+
+    v is null where there is no such sequence or place; places with a null are left out.
+    """
+
+    def run(batches):
+        for rows in batches:
+            for r in rows.itertuples():
+                at = np.asarray(r.at, np.int64)
+                v = pd.array([None] * len(at), dtype="Int64")
+                if r.codec is not None:
+                    diff, name = _inner(r.codec)
+                    there = (at >= 0) & (at < int(r.n))
+                    if there.any():
+                        x = CODECS[name].access(int(r.width), r.high or b"", r.low or b"", at[there])
+                        v[there] = from_diff(x, int(r.step), at[there]) if diff else x.view(np.int64)
+                yield pd.DataFrame({"g": np.int64(r.g), "i": at, "v": v})
+
+    places = asked.select(F.col("g").cast("long").alias("g"), F.col("i").cast("long").alias("i")).dropna().distinct()
+    lists = places.groupBy("g", F.floor(F.col("i") / ACCESS_BLOCK).alias("block")).agg(F.collect_list("i").alias("at"))
+    return lists.join(encoded, "g", "left").select("g", "at", "codec", "n", "step", "width", "high", "low").mapInPandas(run, "g long, i long, v long")
+
+
 def interleaved(pilots: DataFrame, partitions: int) -> DataFrame:
     """pilots (partition_id, bucket, pilot) with the index partitions * bucket + partition_id of dense encoders."""
     return pilots.withColumn("at", F.col("bucket") * partitions + F.col("partition_id"))
@@ -242,6 +308,23 @@ def decode_dense(encoded: DataFrame, partitions: int, name: str, block: int = MO
     return out.select(F.col("i").alias("partition_id"), F.col("g").alias("bucket"), F.col("v").alias("pilot"))
 
 
+def access_dense(encoded: DataFrame, asked: DataFrame, partitions: int, name: str, block: int = MONO_BLOCK) -> DataFrame:
+    """partition_id, bucket, pilot of the places (partition_id, bucket) of ``asked``, each once; ``block`` as encoded.
+
+    The pilot is null where there is none.
+    """
+    if DENSE[name][0] == "mono":
+        inside = F.col("partition_id").between(0, partitions - 1)
+        at = F.when(inside, F.col("bucket") * partitions + F.col("partition_id"))
+        found = access(encoded, asked.select(F.floor(at / block).alias("g"), F.pmod(at, F.lit(block)).alias("i")))
+        at = F.col("g") * block + F.col("i")
+        found = found.select(F.pmod(at, F.lit(partitions)).alias("partition_id"), F.floor(at / partitions).alias("bucket"), F.col("v").alias("pilot"))
+        outside = asked.where(~inside).select("partition_id", "bucket", F.lit(None).cast("long").alias("pilot"))
+        return found.unionByName(outside.dropna(subset=["partition_id", "bucket"]).distinct())
+    found = access(encoded, asked.select(F.col("bucket").alias("g"), F.col("partition_id").alias("i")))
+    return found.select(F.col("i").alias("partition_id"), F.col("g").alias("bucket"), F.col("v").alias("pilot"))
+
+
 def unary_gaps(df: DataFrame, order: str, value: str, width: int, group: str = "g") -> DataFrame:
     """Steps of the high parts of an Elias-Fano sequence, with ``falls`` where the values fall."""
     w = Window.partitionBy(group).orderBy(order)

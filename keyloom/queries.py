@@ -322,6 +322,23 @@ def _round_trip(codec: str, rising: bool) -> None:
 for _codec, _rises in (("rice", False), ("compact", False), ("elias_fano", True), ("diff_compact", True), ("diff_rice", True)):
     _round_trip(_codec, _rises)
 
+
+def _access(codec: str, rising: bool) -> None:
+    """Values at places, of which some lie beyond the end (-1 here)."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        asked = spark.read.parquet(f"{sf}/orders.parquet").select((F.col("o_custkey") % 50).alias("g"), (F.col(KEYS) % 100).alias("i"))
+        found = codecs.access(codecs.encode(_sequence(spark, sf, rising), "g", "i", "v", codec), asked)
+        return found.withColumn("v", F.coalesce("v", F.lit(-1).cast("long")))
+
+    run.__name__ = f"{codec}_access"
+    asked = f"SELECT DISTINCT (o_custkey % 50)::BIGINT AS g, ({KEYS} % 100)::BIGINT AS i FROM orders"
+    _query(f"SELECT g, i, coalesce(v, -1)::BIGINT AS v FROM ({asked}) LEFT JOIN ({_RISING if rising else _SEQ}) USING (g, i)")(run)
+
+
+for _codec, _rises in (("rice", False), ("compact", False), ("elias_fano", True), ("diff_compact", True), ("diff_rice", True)):
+    _access(_codec, _rises)
+
 #: Order keys run from 0, so the indexes have no holes.
 _PILOTS = "SELECT (o_orderkey % 7)::BIGINT AS partition_id, (o_orderkey // 7)::BIGINT AS bucket, (o_custkey % 900)::BIGINT AS pilot FROM orders"
 
@@ -344,8 +361,21 @@ def _dense_trip(name: str) -> None:
     _query(_PILOTS)(run)
 
 
+def _dense_access(name: str) -> None:
+    """Pilots of buckets by half of their numbers."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        asked = spark.read.parquet(f"{sf}/orders.parquet").select((F.col("o_custkey") % 7).alias("partition_id"), F.floor(F.col(KEYS) / 14).alias("bucket"))
+        return codecs.access_dense(codecs.encode_dense(_pilots(spark, sf), 7, name), asked, 7, name)
+
+    run.__name__ = f"dense_{name}_access"
+    asked = f"SELECT DISTINCT (o_custkey % 7)::BIGINT AS partition_id, ({KEYS} // 14)::BIGINT AS bucket FROM orders"
+    _query(f"SELECT partition_id, bucket, pilot FROM ({asked}) LEFT JOIN ({_PILOTS}) USING (partition_id, bucket)")(run)
+
+
 for _codec in codecs.DENSE:
     _dense_trip(_codec)
+    _dense_access(_codec)
 
 # --- bit vectors ------------------------------------------------------------------------------------------------
 _SET = "SELECT DISTINCT o_custkey * 37 AS pos FROM orders"
