@@ -215,12 +215,42 @@ def _inner(name: str) -> tuple[bool, str]:
 
 
 def _grouped(df: DataFrame, group: str, order: str, value: str, make: Callable[[int, np.ndarray], dict], schema: str) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows.sort_values("i")["v"].to_numpy(np.int64)
-        return pd.DataFrame([make(int(rows["g"].iloc[0]), v)])
+    def run(batches):
+        open_g, pieces = 0, []  # of the sequence that may go on in the next batch
+        for rows in batches:
+            g, v, out = rows["g"].to_numpy(), rows["v"].to_numpy(np.int64), []
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else []
+            for a, b in zip(starts, [*starts[1:], len(g)]):
+                if pieces and g[a] != open_g:
+                    out.append(make(open_g, np.concatenate(pieces)))
+                    pieces = []
+                open_g = int(g[a])
+                pieces.append(v[a:b])
+            if out:
+                yield pd.DataFrame(out)
+        if pieces:
+            yield pd.DataFrame([make(open_g, np.concatenate(pieces))])
 
     narrow = df.select(F.col(group).cast("long").alias("g"), F.col(order).cast("long").alias("i"), F.col(value).cast("long").alias("v"))
-    return narrow.groupBy("g").applyInPandas(run, schema)
+    return narrow.repartition("g").sortWithinPartitions("g", "i").mapInPandas(run, schema)
+
+
+def _flat(found):
+    """Frames of g, i, v from tuples (g, places, values, whether there), many short sequences in one."""
+    held, n = [], 0
+    for g, i, v, there in found:
+        held.append((np.full(len(i), g, np.int64), i, v, ~there))
+        n += len(i)
+        if n >= ACCESS_BLOCK:
+            yield _frame(held)
+            held, n = [], 0
+    if held:
+        yield _frame(held)
+
+
+def _frame(held) -> pd.DataFrame:
+    g, i, v, gone = (np.concatenate(x) for x in zip(*held))
+    return pd.DataFrame({"g": g, "i": i, "v": pd.arrays.IntegerArray(v, gone)})
 
 
 def encode(df: DataFrame, group: str, order: str, value: str, codec: str) -> DataFrame:
@@ -250,15 +280,15 @@ def sizes(df: DataFrame, group: str, order: str, value: str, codec: str) -> Data
 def decode(encoded: DataFrame) -> DataFrame:
     """g, i (from 0), v of all sequences."""
 
-    def run(batches):
+    def found(batches):
         for rows in batches:
             for r in rows.itertuples():
                 diff, name = _inner(r.codec)
                 x = CODECS[name].decode(int(r.width), int(r.n), r.high or b"", r.low or b"")
                 v = from_diff(x, int(r.step)) if diff else x.view(np.int64)
-                yield pd.DataFrame({"g": r.g, "i": np.arange(len(v)), "v": v})
+                yield r.g, np.arange(len(v)), v, np.ones(len(v), bool)
 
-    return encoded.mapInPandas(run, "g long, i long, v long")
+    return encoded.mapInPandas(lambda batches: _flat(found(batches)), "g long, i long, v long")
 
 
 def access(encoded: DataFrame, asked: DataFrame) -> DataFrame:
@@ -267,22 +297,22 @@ def access(encoded: DataFrame, asked: DataFrame) -> DataFrame:
     v is null where there is no such sequence or place; places with a null are left out.
     """
 
-    def run(batches):
+    def found(batches):
         for rows in batches:
             for r in rows.itertuples():
                 at = np.asarray(r.at, np.int64)
-                v = pd.array([None] * len(at), dtype="Int64")
+                v, there = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
                 if r.codec is not None:
                     diff, name = _inner(r.codec)
                     there = (at >= 0) & (at < int(r.n))
                     if there.any():
                         x = CODECS[name].access(int(r.width), r.high or b"", r.low or b"", at[there])
                         v[there] = from_diff(x, int(r.step), at[there]) if diff else x.view(np.int64)
-                yield pd.DataFrame({"g": np.int64(r.g), "i": at, "v": v})
+                yield r.g, at, v, there
 
     places = asked.select(F.col("g").cast("long").alias("g"), F.col("i").cast("long").alias("i")).dropna().distinct()
     lists = places.groupBy("g", F.floor(F.col("i") / ACCESS_BLOCK).alias("block")).agg(F.collect_list("i").alias("at"))
-    return lists.join(encoded, "g", "left").select("g", "at", "codec", "n", "step", "width", "high", "low").mapInPandas(run, "g long, i long, v long")
+    return lists.join(encoded, "g", "left").select("g", "at", "codec", "n", "step", "width", "high", "low").mapInPandas(lambda batches: _flat(found(batches)), "g long, i long, v long")
 
 
 def interleaved(pilots: DataFrame, partitions: int) -> DataFrame:
