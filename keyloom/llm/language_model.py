@@ -20,7 +20,7 @@ from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -46,8 +46,11 @@ END = np.uint64(0x5EED0FE4D0000001)
 _ZSTD, _ZSTD_KEPT = pa.Codec("zstd", 1), pa.Codec("zstd", 3)
 #: Bytes up to which what belongs to chunks is broadcast to them; beyond, both are shuffled by chunk.
 BROADCAST_BYTES = 32 << 20
-#: Entries of a word's vector up to which it is scored entry by entry.
-FEW = 24
+#: Words whose vectors are written out and multiplied in one go.
+BLOCK = 8192
+#: Chunks for which there is a slice of the vocabulary, and slices at least: passes handle slices x chunks blobs, and a task
+#: adds up one slice.
+CHUNKS, LEAST = 2, 12
 #: Tables of packed columns are written as they are.
 PACKED = {"compression": "none"}
 
@@ -82,13 +85,24 @@ def _released(run):
     return whole
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Small numbers in as few bytes each as all of them allow."""
+    top = int(x.max()) if len(x) else 0
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + _packed(x.astype(kind))
+
+
+def _wide(x: bytes) -> np.ndarray:
+    return _unpacked(x[1:], f"u{x[0]}")
+
+
 def _packed_sorted(x: np.ndarray) -> bytes:
     """Ascending numbers, by their steps."""
-    return _packed(np.diff(x, prepend=x.dtype.type(0)))
+    return _narrow(np.diff(x, prepend=x.dtype.type(0)))
 
 
-def _unpacked_sorted(x: bytes, kind: type) -> np.ndarray:
-    return np.cumsum(_unpacked(x, kind), dtype=np.int64)
+def _unpacked_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(_wide(x), dtype=np.int64)
 
 
 def _with_ends(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -155,49 +169,51 @@ def _rows(batch: pa.RecordBatch, columns: list[int | str]) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in columns)
 
 
-#: Rows of word lists carry chunk and place in one number.
-PLACE_BITS = 24
+def _edges(words: np.ndarray, slices: int) -> np.ndarray:
+    """Where the slices of the vocabulary begin among sorted words, and the end: words are hashes, slices equal ranges."""
+    first = [-(-(i << 32) // slices) << 32 for i in range(slices)]
+    return np.append(np.searchsorted(words, np.array(first, np.uint64)), len(words))
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for number, words, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            w, n = _unpacked(words, np.uint64), _unpacked(train, np.uint32)
-            at = np.arange(len(w), dtype=np.int64) + (number << PLACE_BITS)
-            for lo in range(0, len(w), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (w.view(np.int64), at, n.astype(np.int64))], ["word", "at", "n"])
+def _counts_by_slice(slices: int):
+    """Of each chunk and slice: the words (sorted), and how often each is in the chunk's training texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words, train in _rows(batch, [0, 1, 2]):
+                words, train = _unpacked(words, np.uint64), _unpacked(train, np.uint32)
+                begins = _edges(words, slices)
+                some = np.flatnonzero(np.diff(begins))
+                ranges = [slice(begins[i], begins[i + 1]) for i in some.tolist()]
+                own, n = pa.array([words[x].tobytes() for x in ranges], pa.binary()), pa.array([_narrow(train[x]) for x in ranges], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), own, n], ["slice", "chunk", "words", "n"])
 
-def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """chunk, places and values from rows (at, value) sorted by at."""
-    now, parts = None, []
-    for batch in batches:
-        at, value = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        chunks = at >> PLACE_BITS
-        cuts = np.flatnonzero(chunks[1:] != chunks[:-1]) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
-            if lo == hi:
-                continue
-            if chunks[lo] != now and parts:
-                yield now, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                parts = []
-            now = int(chunks[lo])
-            parts.append((at[lo:hi] & ((1 << PLACE_BITS) - 1), value[lo:hi]))
-    if parts:
-        yield now, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    return run
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of each chunk's words, and of the words first met in it: how many there are, seen once, and twice.
+_TOTALS = "c long, slice int, totals binary, ids binary, types long, once long, twice long"
 
-    A value is a total, negative (-1 - total) where the word is met first.
-    """
-    for chunk, _, value in _by_chunk(batches):
-        own = value[value < 0]
-        seen = -1 - own
-        totals = np.where(value < 0, -1 - value, value).astype(np.uint64)
-        counts = [int((seen > 0).sum()), int((seen == 1).sum()), int((seen == 2).sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_packed(totals)], pa.binary()), *(pa.array([c], pa.int64()) for c in counts)], ["c", "totals", "types", "once", "twice"])
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of ``_counts_by_slice`` sorted by slice: for each chunk the totals of its words of the slice and their
+    ranks among all words of the slice; for each slice (c -1) how many words training texts have, once, and twice."""
+    for number, parts in _by_slice(batches, 4):
+        words = [np.frombuffer(p[1], np.uint64) for p in parts]
+        own, back = _coded(np.concatenate(words))
+        totals = np.bincount(back, weights=np.concatenate([_wide(p[2]) for p in parts]), minlength=len(own)).astype(np.uint64)
+        out = [(-1, number, b"", b"", int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum()))]
+        for p, ids in zip(parts, np.split(back, np.cumsum([len(w) for w in words])[:-1]), strict=True):
+            out.append((p[0], number, _narrow(totals[ids]), _packed_sorted(ids), 0, 0, 0))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["c", "slice", "totals", "ids", "types", "once", "twice"])
+
+
+def _totals_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals and ranks of each chunk's words, in their order, from rows (chunk, totals, ids) sorted by chunk and slice."""
+    for chunk, parts in _by_slice(batches, 3):
+        totals = np.concatenate([_wide(p[0]) for p in parts]).astype(np.uint64)
+        ids = np.concatenate([_unpacked_sorted(p[1]) for p in parts])
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_packed(totals)], pa.binary()), pa.array([_packed(np.diff(ids, prepend=0).astype(np.int32))], pa.binary())], ["c", "totals", "ids"])
 
 
 def rare_class(totals: np.ndarray) -> np.ndarray:
@@ -213,11 +229,9 @@ def contexts(words: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 def _often(words: np.ndarray, totals: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the training words of a chunk in order of slices of the vocabulary, and where the slices begin."""
+    """Places of the training words of a chunk, and where the slices of the vocabulary begin among them."""
     at = np.flatnonzero((totals >= MIN_COUNT) & (words != END))
-    own = (textkit.mixed(words[at] + textkit.U(1)) % textkit.U(slices)).astype(np.int64)
-    order = np.argsort(own, kind="stable")
-    return at[order], np.searchsorted(own[order], np.arange(slices + 1))
+    return at, _edges(words[at], slices)
 
 
 def _vectors(slices: int):
@@ -226,28 +240,34 @@ def _vectors(slices: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in _rows(batch, [0, 1, 2, 3, 4]):
-                ctx = contexts(_unpacked(packed[3], np.uint64), _unpacked(packed[4], np.uint64).astype(np.int64))
-                yield from _chunk_vectors(slices, ctx, *packed)
+            for held, sizes, codes, *packed in _rows(batch, [0, 1, 2, 3, 4]):
+                words, totals = _unpacked(packed[0], np.uint64), _unpacked(packed[1], np.uint64)
+                at, begins = _often(words, totals, slices)
+                each = contexts(words, totals.astype(np.int64)).astype(np.uint8)
+                numbers, keys, counts = _chunk_vectors(at, begins, each, _training(held, sizes, codes))
+                own = pa.array([words[at[begins[i] : begins[i + 1]]].tobytes() for i in numbers], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), own, keys, counts], ["slice", "words", "keys", "counts"])
 
     return run
 
 
+def _training(held: bytes, sizes: bytes, codes: bytes) -> np.ndarray:
+    """Codes of a chunk's training tokens."""
+    return _unpacked(codes, np.uint32)[np.repeat(~_unpacked(held, bool), _unpacked(sizes, np.uint32))]
+
+
 def _run_lengths(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of sorted ones and how often each is there."""
     starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
     return key[starts], np.diff(starts, append=len(key)).astype(np.uint32)
 
 
-def _chunk_vectors(slices: int, ctx: np.ndarray, held: bytes, sizes: bytes, codes: bytes, words: bytes, totals: bytes) -> Iterator[pa.RecordBatch]:
-    held, sizes, codes = _unpacked(held, bool), _unpacked(sizes, np.uint32), _unpacked(codes, np.uint32)
-    words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
-    codes = codes[np.repeat(~held, sizes)]
-    at, begins = _often(words, totals, slices)
+def _chunk_vectors(at: np.ndarray, begins: np.ndarray, classes: np.ndarray, codes: np.ndarray) -> tuple[list[int], pa.Array, pa.Array]:
+    """Slices that the training words of a chunk are in, and keys and counts of each, packed."""
     kind = np.uint32 if (len(at) + 1) * 2 * CONTEXTS < 1 << 32 else np.uint64
-    first = np.zeros(len(words), kind)
+    first = np.zeros(len(classes), kind)
     first[at] = np.arange(len(at), dtype=kind) * kind(2 * CONTEXTS)
-    each = ctx.astype(np.uint8)[codes]
+    each = classes[codes]
     ends = np.array([END_CLASS], np.uint8)  # a text follows the end of the one before
     mine = each != END_CLASS
     first = first[codes[mine]]
@@ -258,15 +278,16 @@ def _chunk_vectors(slices: int, ctx: np.ndarray, held: bytes, sizes: bytes, code
     np.add(first, np.concatenate([each[1:], ends])[: len(each)][mine], out=key[m:])
     key[m:] += kind(CONTEXTS)
     del first, each, mine
-    _release()
     key.sort()
     cuts = np.searchsorted(key, (begins * (2 * CONTEXTS)).astype(kind))
-    for i in np.flatnonzero(np.diff(begins)).tolist():
+    numbers, keys, counts = np.flatnonzero(np.diff(begins)).tolist(), [], []
+    for i in numbers:
         own, n = _run_lengths(key[cuts[i] : cuts[i + 1]])
-        packed = words[at[begins[i] : begins[i + 1]]].tobytes(), _packed_sorted((own - kind(begins[i] * 2 * CONTEXTS)).astype(np.uint32)), _packed(n)
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["slice", "words", "keys", "counts"])
+        keys.append(_packed_sorted(own - kind(begins[i] * 2 * CONTEXTS) if len(own) else own))
+        counts.append(_narrow(n))
     del key
     _release()
+    return numbers, pa.array(keys, pa.binary()), pa.array(counts, pa.binary())
 
 
 def _vector_rows(words: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -305,74 +326,75 @@ def _by_slice(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple
         yield now, parts
 
 
-def _added(parts: list[tuple]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of a slice's rows (words, keys, counts): its words, where each row's words are in them, keys in order, counts."""
+def _added(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice's rows (words, keys, counts): its words, keys in order, counts."""
     words = [np.frombuffer(p[0], np.uint64) for p in parts]
     own, back = _coded(np.concatenate(words))
-    back = np.split(back.astype(np.int64), np.cumsum([len(w) for w in words])[:-1])
-    keys = []
-    for to, p in zip(back, parts, strict=True):
-        key = _unpacked_sorted(p[1], np.uint32)
-        keys.append(to[key // (2 * CONTEXTS)] * (2 * CONTEXTS) + key % (2 * CONTEXTS))
-    key, n = np.concatenate(keys), np.concatenate([_unpacked(p[2], np.uint32) for p in parts])
-    order = np.argsort(key)
-    key, n = key[order], n[order]
+    found = []
+    for to, p in zip(np.split(back.astype(np.int64), np.cumsum([len(w) for w in words])[:-1]), parts, strict=True):
+        rank, place = np.divmod(_unpacked_sorted(p[1]), 2 * CONTEXTS)
+        # Keys with their counts in the lower bits, which are sorted as one.
+        found.append((to[rank] * (2 * CONTEXTS) + place) << 32 | _wide(p[2]).astype(np.int64))
+    both = np.concatenate(found)
+    del found
+    both.sort()
+    key = both >> 32
     starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-    return own, back, key[starts], np.add.reduceat(n, starts, dtype=np.int64) if len(key) else np.zeros(0, np.int64)
+    return own, key[starts], np.add.reduceat(both & 0xFFFFFFFF, starts) if len(key) else np.zeros(0, np.int64)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each word, from rows sorted by slice; a slice is added up at a time."""
     for _, parts in _by_slice(batches, 4):
-        own, _, key, n = _added(parts)
+        own, key, n = _added(parts)
         if len(key):
             yield from _vector_rows(own.view(np.int64), key, n)
 
 
 def _moves(slices: int):
-    """Of chunks: the counts of steps (slice -1), and vectors of words by the classes around them, by slice."""
+    """Of chunks: the counts of steps (slice -1), and vectors of words by the classes around them, by slice; words are
+    told by their ranks in the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slice", "chunk", "words", "keys", "counts"]
+        names = ["slice", "chunk", "ids", "keys", "counts"]
         for batch in batches:
-            for chunk, numbers, classes, *packed in _rows(batch, ["chunk", "numbers", "classes", "held", "sizes", "codes", "words", "totals"]):
-                own = _own_classes(slices, packed[3], packed[4], numbers, classes)
-                held, sizes, codes = _unpacked(packed[0], bool), _unpacked(packed[1], np.uint32), _unpacked(packed[2], np.uint32)
+            for chunk, numbers, classes, ids, words, totals, *packed in _rows(batch, ["chunk", "numbers", "classes", "ids", "words", "totals", "held", "sizes", "codes"]):
+                words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64)
+                at, begins = _often(words, totals, slices)
+                own = _own_classes(words, at, begins, numbers, classes)
+                ids = np.cumsum(_unpacked(ids, np.int32), dtype=np.int64)[at]
+                codes = _training(*packed)
                 steps = np.zeros(ALL_CLASSES**2, np.int64)
-                for first, last, lo, hi in _slices(sizes):
-                    train = np.repeat(~held[first:last], sizes[first:last])
-                    steps += np.bincount(_steps(own[codes[lo:hi]])[train], minlength=len(steps))
+                for lo in range(0, len(codes), SLICE):
+                    # With the token before it, or the end before the first one.
+                    each = own[codes[max(lo - 1, 0) : lo + SLICE]]
+                    steps += np.bincount(_steps(each)[min(lo, 1) :], minlength=len(steps))
+                numbers, keys, counts = _chunk_vectors(at, begins, own, codes)
                 del codes
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in (b"", b"", _packed(steps)))], names)
-                for rows in _chunk_vectors(slices, own, *packed):
-                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([chunk], pa.int64()), *(rows.column(i) for i in (1, 2, 3))], names)
+                none = [b""]
+                ranks = [_packed_sorted(ids[begins[i] : begins[i + 1]]) for i in numbers]
+                columns = none + ranks, none + keys.to_pylist(), [_packed(steps), *counts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([-1, *numbers], pa.int32()), pa.array(np.full(len(numbers) + 1, chunk)), *(pa.array(x, pa.binary()) for x in columns)], names)
 
     return run
 
 
-def _best(logs: np.ndarray, n_words: int, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The likeliest class of each word, from sorted keys (word * 2 * CONTEXTS + place) and their counts.
+def _best(logs: np.ndarray, n_words: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The likeliest class of each word, from parts of sorted, distinct keys (word * 2 * CONTEXTS + place) and their counts.
 
-    Most words have few entries, which are added up one by one; the vectors of the others are multiplied whole.
+    The vectors of BLOCK words at a time are written out and multiplied whole.
     """
     out, columns = np.zeros(n_words, np.uint8), np.ascontiguousarray(logs.T)
-    for lo in range(0, n_words, 4096):
-        hi = min(lo + 4096, n_words)
-        a, b = np.searchsorted(key, [lo * 2 * CONTEXTS, hi * 2 * CONTEXTS])
-        row, place = np.divmod(key[a:b] - lo * 2 * CONTEXTS, 2 * CONTEXTS)
-        entries, count = np.bincount(row, minlength=hi - lo), n[a:b]
-        few = np.flatnonzero((entries > 0) & (entries <= FEW))
-        if len(few):
-            mine = (entries <= FEW)[row]
-            starts = np.cumsum(entries[few]) - entries[few]
-            out[lo + few] = np.add.reduceat(columns[place[mine]] * count[mine, None], starts).argmax(1)
-        many = np.flatnonzero(entries > FEW)
-        if len(many):
-            mine = (entries > FEW)[row]
-            at = np.zeros(hi - lo, np.int64)
-            at[many] = np.arange(len(many))
-            x = np.bincount(at[row[mine]] * 2 * CONTEXTS + place[mine], weights=count[mine], minlength=len(many) * 2 * CONTEXTS)
-            out[lo + many] = (x.reshape(len(many), 2 * CONTEXTS) @ columns).argmax(1)
+    lows = np.arange(0, n_words + BLOCK, BLOCK)
+    cuts = [np.searchsorted(key, lows * (2 * CONTEXTS)) for key, _ in parts]
+    vectors = np.zeros(min(BLOCK, n_words) * 2 * CONTEXTS)
+    for i, lo in enumerate(lows[:-1].tolist()):
+        hi = min(lo + BLOCK, n_words)
+        vectors[:] = 0
+        for (key, n), c in zip(parts, cuts, strict=True):
+            if c[i] < c[i + 1]:
+                vectors[key[c[i] : c[i + 1]] - lo * 2 * CONTEXTS] += n[c[i] : c[i + 1]]
+        out[lo:hi] = (vectors.reshape(-1, 2 * CONTEXTS)[: hi - lo] @ columns).argmax(1)
     return out
 
 
@@ -381,10 +403,13 @@ def _reassigned(logs: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, parts in _by_slice(batches, 5):
-            own, back, key, n = _added([p[1:] for p in parts])
-            classes = _best(logs, len(own), key, n)
-            for to, p in zip(back, parts, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([p[0]], pa.int64()), pa.array([number], pa.int32()), pa.array([_packed(classes[to])], pa.binary())], ["c", "slice", "classes"])
+            ids, vectors = [_unpacked_sorted(p[1]) for p in parts], []
+            for to, p in zip(ids, parts, strict=True):
+                rank, place = np.divmod(_unpacked_sorted(p[2]), 2 * CONTEXTS)
+                vectors.append((to[rank] * (2 * CONTEXTS) + place, _wide(p[3])))
+            classes = _best(logs, max(int(to[-1]) for to in ids) + 1, vectors)
+            chunks = pa.array([p[0] for p in parts], pa.int64())
+            yield pa.RecordBatch.from_arrays([chunks, pa.array(np.full(len(parts), number, np.int32)), pa.array([_packed(classes[to]) for to in ids], pa.binary())], ["c", "slice", "classes"])
 
     return run
 
@@ -400,7 +425,7 @@ def _exchange(scratch: Scratch, counted: DataFrame, placed: DataFrame, slices: i
     best, kept, rounds = -np.inf, placed, 0
     counted = counted.drop("keys")
     while True:
-        moves = _with(counted, placed, _class_bytes()).mapInArrow(_released(_moves(slices)), "slice int, chunk long, words binary, keys binary, counts binary")
+        moves = _with(counted, placed, _class_bytes()).mapInArrow(_released(_moves(slices)), "slice int, chunk long, ids binary, keys binary, counts binary")
         moves = scratch.save(moves, f"moves{rounds}", **PACKED)
         steps = moves.where("slice = -1").select("counts").mapInArrow(_all_steps, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         table = np.zeros(ALL_CLASSES**2, np.int64)
@@ -423,7 +448,7 @@ def _exchange(scratch: Scratch, counted: DataFrame, placed: DataFrame, slices: i
 def _with(chunks: DataFrame, side: DataFrame, blobs: Column) -> DataFrame:
     """Chunks with what ``side`` has for them, by its column c; blobs: the bytes of a row of it."""
     size = side.agg(F.sum(blobs)).first()[0] or 0
-    return chunks.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("chunk") == F.col("c"), "left")
+    return chunks.join(F.broadcast(side) if size <= BROADCAST_BYTES else side.hint("shuffle_hash"), F.col("chunk") == F.col("c"), "left")
 
 
 def _class_bytes() -> Column:
@@ -445,11 +470,9 @@ def _gathered(answers: DataFrame) -> DataFrame:
     return answers.groupBy("c").agg(F.collect_list(F.struct("slice", "classes")).alias("x")).select("c", F.col("x.slice").alias("numbers"), "x.classes")
 
 
-def _own_classes(slices: int, words: bytes, totals: bytes, numbers: list | None, classes: list | None) -> np.ndarray:
+def _own_classes(words: np.ndarray, at: np.ndarray, begins: np.ndarray, numbers: list | None, classes: list | None) -> np.ndarray:
     """Classes of a chunk's words from those of its slices, which are in the order of ``_often``."""
-    words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
     own = np.where(words == END, END_CLASS, CLASSES).astype(np.uint8)
-    at, begins = _often(words, totals, slices)
     for i, what in zip(numbers or [], classes or [], strict=True):
         own[at[begins[i] : begins[i + 1]]] = _unpacked(what, np.uint8)
     return own
@@ -460,12 +483,12 @@ def _often_of_chunks(slices: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, words, totals in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words, totals = _unpacked(words, np.uint64), _unpacked(totals, np.uint64).astype(np.int64)
-                at, begins = _often(words, totals, slices)
-                for i in np.flatnonzero(np.diff(begins)).tolist():
-                    own = at[begins[i] : begins[i + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([number], pa.int64()), pa.array([_packed(words[own])], pa.binary()), pa.array([b""], pa.binary())], ["slice", "chunk", "words", "classes"])
+            for number, words, totals in _rows(batch, [0, 1, 2]):
+                words = _unpacked(words, np.uint64)
+                at, begins = _often(words, _unpacked(totals, np.uint64), slices)
+                some = np.flatnonzero(np.diff(begins))
+                own = pa.array([words[at[begins[i] : begins[i + 1]]].tobytes() for i in some.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), number)), own, pa.array([b""] * len(some), pa.binary())], ["slice", "chunk", "words", "classes"])
 
     return run
 
@@ -477,11 +500,12 @@ def _classes_of_words(slices: int, logs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.tables(batches, 65536):
             words, classes, *_ = _likeliest(logs, batch)
-            words = words.view(np.uint64)
-            own = (textkit.mixed(words + textkit.U(1)) % textkit.U(slices)).astype(np.int32)
-            for i in np.unique(own).tolist():
-                mine = own == i
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([-1], pa.int64()), pa.array([_packed(words[mine])], pa.binary()), pa.array([_packed(classes[mine].astype(np.uint8))], pa.binary())], ["slice", "chunk", "words", "classes"])
+            order = np.argsort(words.view(np.uint64))
+            words, classes = words.view(np.uint64)[order], classes[order]
+            begins = _edges(words, slices)
+            some = np.flatnonzero(np.diff(begins))
+            columns = ([x[begins[i] : begins[i + 1]].tobytes() for i in some.tolist()] for x in (words, classes))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), -1)), *(pa.array(x, pa.binary()) for x in columns)], ["slice", "chunk", "words", "classes"])
 
     return run
 
@@ -495,13 +519,13 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if number != now:
                 now, known, table = number, [], None
             if chunk < 0:
-                known.append((_unpacked(words, np.uint64), _unpacked(classes, np.uint8)))
+                known.append((np.frombuffer(words, np.uint64), np.frombuffer(classes, np.uint8)))
                 continue
             if table is None:
                 w, c = (np.concatenate(x) for x in zip(*known, strict=True))  # every training word has a vector
                 order = np.argsort(w)
                 table = w[order], c[order]
-            out.append((chunk, number, _packed(table[1][np.searchsorted(table[0], _unpacked(words, np.uint64))])))
+            out.append((chunk, number, _packed(table[1][np.searchsorted(table[0], np.frombuffer(words, np.uint64))])))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["c", "slice", "classes"])
 
 
@@ -514,7 +538,7 @@ def _logs(table: np.ndarray) -> np.ndarray:
 def _likeliest(logs: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Words with their classes, and of each entry of their vectors the row, place and count."""
     words, row, place, count = _flat(batch)
-    return words, _best(logs, len(words), row * (2 * CONTEXTS) + place, count), row, place, count
+    return words, _best(logs, len(words), [(row * (2 * CONTEXTS) + place, count)]), row, place, count
 
 
 def _exchanged(logs: np.ndarray):
@@ -567,7 +591,10 @@ def _classed(slices: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_packed(_own_classes(slices, *x)) for x in _rows(batch, ["words", "totals", "numbers", "classes"])]
+            out = []
+            for words, totals, *placed in _rows(batch, ["words", "totals", "numbers", "classes"]):
+                words = _unpacked(words, np.uint64)
+                out.append(_packed(_own_classes(words, *_often(words, _unpacked(totals, np.uint64), slices), *placed)))
             columns = ["keys", "held", "sizes", "codes", "totals"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "classes"])
 
@@ -662,21 +689,19 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     encoded = packed.mapInArrow(_chunked(), f"chunk long, keys array<{kind}>, {parts}, words binary, train binary")
     encoded = scratch.save(encoded, "encoded", **PACKED)
 
-    rows = encoded.select("chunk", "words", "train").mapInArrow(_released(_word_rows), "word long, at long, n long")
-    word = Window.partitionBy("word")
-    total = F.sum("n").over(word)
-    rows = rows.select("at", F.when(F.col("at") == F.min("at").over(word), -1 - total).otherwise(total).alias("value"))
-    chunk = F.shiftright("at", PLACE_BITS)
-    rows = rows.repartition(chunk).sortWithinPartitions("at")
-    totals = scratch.save(rows.mapInArrow(_released(_totals), "c long, totals binary, types long, once long, twice long"), "totals", **PACKED)
+    slices = max(LEAST, encoded.count() // CHUNKS)
+    rows = encoded.select("chunk", "words", "train").mapInArrow(_released(_counts_by_slice(slices)), "slice int, chunk long, words binary, n binary")
+    sums = scratch.save(rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(_released(_totals), _TOTALS), "sums", **PACKED)
     scratch.tidy()
-    types, once, twice = (x or 0 for x in totals.agg(F.sum("types"), F.sum("once"), F.sum("twice")).first())
-    counted = _with(encoded, totals.select("c", "totals"), F.octet_length("totals"))
-    counted = scratch.save(counted.select("chunk", "keys", "held", "sizes", "codes", "words", "totals"), "counted", **PACKED)
+    types, once, twice = (x or 0 for x in sums.agg(F.sum("types"), F.sum("once"), F.sum("twice")).first())
+    totals = sums.where("c >= 0").repartition("c").sortWithinPartitions("c", "slice").select("c", "totals", "ids")
+    totals = scratch.save(totals.mapInArrow(_released(_totals_of_chunks), "c long, totals binary, ids binary"), "totals", **PACKED)
+    scratch.drop("sums")
+    counted = _with(encoded, totals, F.octet_length("totals") + F.octet_length("ids"))
+    counted = scratch.save(counted.select("chunk", "keys", "held", "sizes", "codes", "words", "totals", "ids"), "counted", **PACKED)
     scratch.drop("encoded")
     scratch.tidy()
 
-    slices = max(12, totals.count())  # of the vocabulary: what a task adds up stays as large as a chunk
     vectors = counted.select("held", "sizes", "codes", "words", "totals").mapInArrow(_released(_vectors(slices)), "slice int, words binary, keys binary, counts binary")
     vectors = vectors.repartition("slice").sortWithinPartitions("slice").mapInArrow(_released(_summed), "word long, places array<short>, counts array<long>")
     vectors = scratch.save(vectors, "vectors")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from keyloom.llm import language_model as lm
@@ -132,3 +133,59 @@ def test_likelihood_is_the_information_of_class_bigrams():
     p = steps / steps.sum()
     want = sum(x * math.log(x / (a * b)) for row, a in zip(p, p.sum(1), strict=True) for x, b in zip(row, p.sum(0), strict=True) if x)
     assert math.isclose(lm._likelihood(steps), want)
+
+
+def chunks(n, seed=11):
+    """Encoded chunks: held, sizes, codes, words."""
+    out, r = [], np.random.default_rng(seed)
+    vocabulary = lm.textkit.mixed(np.arange(1, 400, dtype=np.uint64))
+    for _ in range(n):
+        sizes = r.integers(0, 40, 30)
+        tokens = lm._with_ends(vocabulary[(r.random(sizes.sum()) ** 3 * len(vocabulary)).astype(int)], np.concatenate([[0], np.cumsum(sizes)]))
+        words, codes = lm._coded(tokens)
+        out.append((r.random(30) < 0.2, (sizes + 1).astype(np.uint32), codes, words))
+    return out
+
+
+def ordered(batches, *keys):
+    return [pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in keys]).combine_chunks().to_batches()[0]]
+
+
+def test_a_round_passes_on_one_batch_a_chunk_without_words():
+    """Totals, ranks and moves of three chunks by slices of the vocabulary, against counts of all tokens."""
+    slices, made = 7, chunks(3)
+    train = [c[np.repeat(~held, sizes)] for held, sizes, c, _ in made]
+    arrays = [pa.array([0, 1, 2]), *(pa.array([lm._packed(x) for x in col]) for col in ([m[3] for m in made], [np.bincount(t, minlength=len(m[3])).astype(np.uint32) for t, m in zip(train, made, strict=True)]))]
+    found = pa.Table.from_batches(list(lm._totals(iter(ordered(lm._counts_by_slice(slices)(iter([pa.RecordBatch.from_arrays(arrays, list("abc"))])), "slice")))))
+    seen = Counter(w for t, m in zip(train, made, strict=True) for w in m[3][t].tolist())
+    assert [sum(found.column(c).to_pylist()) for c in ("types", "once", "twice")] == [len(seen), *(sum(n == k for n in seen.values()) for k in (1, 2))]
+    found = found.filter(pa.compute.greater_equal(found.column("c"), 0)).sort_by([("c", "ascending"), ("slice", "ascending")]).select(["c", "totals", "ids"])
+    totals = [(lm._unpacked(b.column(1)[0].as_py(), np.uint64), b.column(2)[0].as_py()) for b in lm._totals_of_chunks(iter(found.to_batches()))]
+    assert [t.tolist() for t, _ in totals] == [[seen[w] for w in m[3].tolist()] for m in made]
+
+    classes = {w: lm.END_CLASS if w == int(lm.END) else w % lm.CLASSES if seen[w] else lm.CLASSES for m in made for w in m[3].tolist()}
+    rows, vectors, steps = [], {}, np.zeros(lm.ALL_CLASSES**2, int)
+    for i, ((held, sizes, codes, words), (own, ids)) in enumerate(zip(made, totals, strict=True)):
+        at, begins = lm._often(words, own, slices)
+        placed = [lm._packed(np.array([classes[w] for w in words[at[begins[j] : begins[j + 1]]].tolist()], np.uint8)) for j in range(slices)]
+        rows.append({"chunk": i, "numbers": list(range(slices)), "classes": placed, "ids": ids, **{k: lm._packed(x) for k, x in (("words", words), ("totals", own), ("held", held), ("sizes", sizes), ("codes", codes))}})
+        tokens = [int(lm.END), *words[train[i]].tolist(), int(lm.END)]
+        for before, w, after in zip(tokens, tokens[1:], tokens[2:], strict=False):
+            steps[classes[before] * lm.ALL_CLASSES + classes[w]] += 1
+            if w != int(lm.END):
+                vectors.setdefault(w, np.zeros(2 * lm.CONTEXTS))[[classes[before], lm.CONTEXTS + classes[after]]] += 1
+    moved = list(lm._moves(slices)(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(moved) == 3 and "words" not in moved[0].schema.names
+    moved = ordered(moved, "slice", "chunk")[0]
+    first = moved.slice(0, 3)
+    assert first.column("slice").to_pylist() == [-1] * 3
+    assert (sum(lm._unpacked(x, np.int64) for x in first.column("counts").to_pylist()) == steps).all()
+    logs = np.log(np.random.default_rng(0).random((lm.CLASSES, 2 * lm.CONTEXTS)))
+    got = 0
+    for answer in lm._reassigned(logs)(iter([moved.slice(3)])):
+        for c, j, new in zip(*(answer.column(k).to_pylist() for k in range(3)), strict=True):
+            at, begins = lm._often(made[c][3], totals[c][0], slices)
+            words = made[c][3][at[begins[j] : begins[j + 1]]].tolist()
+            assert lm._unpacked(new, np.uint8).tolist() == [int((logs @ vectors[w]).argmax()) for w in words]
+            got += len(words)
+    assert got == sum(len(lm._often(m[3], t, slices)[0]) for m, (t, _) in zip(made, totals, strict=True))
