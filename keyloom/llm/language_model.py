@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -29,8 +29,10 @@ from .store import Scratch
 MIN_COUNT, CLASSES, ROUNDS = 1, 64, 2
 #: Nats a token that a round of exchange must gain for another one to follow.
 GAIN = 0.002
-#: Tokens of a chunk: about what a task reads, so that word lists repeat little.
-CHUNK = 3_000_000
+#: Tokens of a chunk, which is what a pass holds at a time; in smaller ones word lists repeat more.
+CHUNK = 1 << 20
+#: Documents, and chunks or slices of them, that are passed to Python at a time: rows have texts, or blobs of megabytes.
+DOCUMENTS, BLOBS = 512, 1
 #: Tokens that passes over chunks look at in one go.
 SLICE = 1 << 20
 #: Weight of the class model, and smoothing of its transitions and of the unigrams.
@@ -50,7 +52,7 @@ BROADCAST_BYTES = 32 << 20
 BLOCK = 8192
 #: Chunks for which there is a slice of the vocabulary, and slices at least: passes handle slices x chunks blobs, and a task
 #: adds up one slice.
-CHUNKS, LEAST = 2, 12
+CHUNKS, LEAST = 4, 12
 #: Tables of packed columns are written as they are.
 PACKED = {"compression": "none"}
 
@@ -75,6 +77,18 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextmanager
+def _passed(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside passes so many rows to Python at a time, so that both sides hold these and not all of a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _released(run):
     """A pass over batches that gives its memory back at its end, since workers outlive it."""
 
@@ -146,7 +160,7 @@ def _chunked():
         from pyspark import TaskContext
 
         number, parts, n = TaskContext.get().partitionId() << 20, [], 0
-        for batch in textkit.tables(batches, 512):
+        for batch in textkit.tables(batches, DOCUMENTS):
             hashes, at = textkit.words(batch.column(2))
             # A copy of the keys, since a slice would keep the texts of its batch.
             parts.append((batch.column(0).take(np.arange(batch.num_rows)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), _with_ends(hashes, at), np.diff(at) + 1))
@@ -157,6 +171,7 @@ def _chunked():
                 _release()
         if parts:
             yield chunk(number, parts)
+        textkit.forget()
         _release()
 
     return run
@@ -426,7 +441,8 @@ def _exchange(scratch: Scratch, counted: DataFrame, placed: DataFrame, slices: i
     counted = counted.drop("keys")
     while True:
         moves = _with(counted, placed, _class_bytes()).mapInArrow(_released(_moves(slices)), "slice int, chunk long, ids binary, keys binary, counts binary")
-        moves = scratch.save(moves, f"moves{rounds}", **PACKED)
+        with _passed(scratch.spark, BLOBS):
+            moves = scratch.save(moves, f"moves{rounds}", **PACKED)
         steps = moves.where("slice = -1").select("counts").mapInArrow(_all_steps, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         table = np.zeros(ALL_CLASSES**2, np.int64)
         table[steps["at"].to_numpy(np.int64)] = steps["n"].to_numpy(np.int64)
@@ -439,7 +455,8 @@ def _exchange(scratch: Scratch, counted: DataFrame, placed: DataFrame, slices: i
             return kept
         logs = _logs(np.concatenate([table[:, :CLASSES].T, table[:CLASSES]], 1))
         moved = moves.where("slice >= 0").repartition("slice").sortWithinPartitions("slice").mapInArrow(_released(_reassigned(logs)), _ANSWERS)
-        placed = scratch.save(_gathered(moved), f"placed{rounds}", **PACKED)
+        with _passed(scratch.spark, BLOBS):
+            placed = scratch.save(_gathered(moved), f"placed{rounds}", **PACKED)
         scratch.drop(f"moves{rounds}")
         scratch.tidy()
         rounds += 1
@@ -687,15 +704,18 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     kind = packed.schema["key"].dataType.simpleString()
     parts = "held binary, sizes binary, codes binary"
     encoded = packed.mapInArrow(_chunked(), f"chunk long, keys array<{kind}>, {parts}, words binary, train binary")
-    encoded = scratch.save(encoded, "encoded", **PACKED)
+    with _passed(spark, DOCUMENTS):
+        encoded = scratch.save(encoded, "encoded", **PACKED)
 
     slices = max(LEAST, encoded.count() // CHUNKS)
     rows = encoded.select("chunk", "words", "train").mapInArrow(_released(_counts_by_slice(slices)), "slice int, chunk long, words binary, n binary")
-    sums = scratch.save(rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(_released(_totals), _TOTALS), "sums", **PACKED)
+    with _passed(spark, BLOBS):
+        sums = scratch.save(rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(_released(_totals), _TOTALS), "sums", **PACKED)
     scratch.tidy()
     types, once, twice = (x or 0 for x in sums.agg(F.sum("types"), F.sum("once"), F.sum("twice")).first())
     totals = sums.where("c >= 0").repartition("c").sortWithinPartitions("c", "slice").select("c", "totals", "ids")
-    totals = scratch.save(totals.mapInArrow(_released(_totals_of_chunks), "c long, totals binary, ids binary"), "totals", **PACKED)
+    with _passed(spark, BLOBS):
+        totals = scratch.save(totals.mapInArrow(_released(_totals_of_chunks), "c long, totals binary, ids binary"), "totals", **PACKED)
     scratch.drop("sums")
     counted = _with(encoded, totals, F.octet_length("totals") + F.octet_length("ids"))
     counted = scratch.save(counted.select("chunk", "keys", "held", "sizes", "codes", "words", "totals", "ids"), "counted", **PACKED)
@@ -704,7 +724,8 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
 
     vectors = counted.select("held", "sizes", "codes", "words", "totals").mapInArrow(_released(_vectors(slices)), "slice int, words binary, keys binary, counts binary")
     vectors = vectors.repartition("slice").sortWithinPartitions("slice").mapInArrow(_released(_summed), "word long, places array<short>, counts array<long>")
-    vectors = scratch.save(vectors, "vectors")
+    with _passed(spark, BLOBS):
+        vectors = scratch.save(vectors, "vectors")
     scratch.tidy()
     row = "slice int, chunk long, words binary, classes binary"
     known = vectors.mapInArrow(_released(_classes_of_words(slices, _fitted(vectors))), row)
@@ -715,11 +736,14 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     scratch.tidy()
     placed = _exchange(scratch, counted, placed, slices)
     classed = _with(counted, placed, _class_bytes())
-    classed = scratch.save(classed.mapInArrow(_released(_classed(slices)), f"keys array<{kind}>, {parts}, totals binary, classes binary"), "classed", **PACKED)
+    with _passed(spark, BLOBS):
+        classed = scratch.save(classed.mapInArrow(_released(_classed(slices)), f"keys array<{kind}>, {parts}, totals binary, classes binary"), "classed", **PACKED)
     scratch.drop("counted")
     scratch.tidy()
 
-    found = classed.select("held", "sizes", "codes", "totals", "classes").mapInArrow(_released(_transitions), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = classed.select("held", "sizes", "codes", "totals", "classes").mapInArrow(_released(_transitions), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    with _passed(spark, BLOBS):
+        found = found.toPandas()
     counts = np.zeros(2 * ALL_CLASSES**2, np.int64)
     counts[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     steps, new = counts.reshape(2, ALL_CLASSES, ALL_CLASSES)

@@ -53,6 +53,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def forget() -> None:
+    """Lets go of the powers, for passes after which a worker reads no more texts."""
+    _POWERS.clear()
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
     column = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "")

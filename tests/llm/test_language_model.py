@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -189,3 +190,46 @@ def test_a_round_passes_on_one_batch_a_chunk_without_words():
             assert lm._unpacked(new, np.uint8).tolist() == [int((logs @ vectors[w]).argmax()) for w in words]
             got += len(words)
     assert got == sum(len(lm._often(m[3], t, slices)[0]) for m, (t, _) in zip(made, totals, strict=True))
+
+
+def test_passes_hold_one_chunk_and_scores_do_not_depend_on_chunks(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(1, 2400), "doc_id long, text string").repartition(2).localCheckpoint()
+    rows = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.scores(docs).collect())
+    want, name = rows(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def watched(make):
+        def made(slices):
+            own = make(slices)
+
+            def run(batches):
+                def alone():
+                    for batch in batches:
+                        if batch.num_rows > 1:
+                            raise AssertionError(f"{batch.num_rows} chunks at a time")
+                        yield batch
+
+                return own(alone())
+
+            return run
+
+        return made
+
+    monkeypatch.setattr(lm, "CHUNK", 500)
+    for pass_ in ("_counts_by_slice", "_vectors", "_moves", "_classed"):
+        monkeypatch.setattr(lm, pass_, watched(getattr(lm, pass_)))
+    assert rows() == want and spark.conf.get(name) == before
+
+
+def test_encoding_holds_a_chunk_and_leaves_nothing(monkeypatch):
+    """Three million tokens; numpy's memory only."""
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    r, n = np.random.default_rng(5), 3000
+    texts = [" ".join(map(str, (r.random(1000) ** 4 * 200_000).astype(int).tolist())) for _ in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([{"doc_id": i} for i in range(n)]), pa.array([i % 10 == 0 for i in range(n)]), pa.array(texts)], ["key", "held", "text"])
+    tracemalloc.start()
+    tokens = sum(int(lm._unpacked(c.column("sizes")[0].as_py(), np.uint32).sum()) for c in lm._chunked()(iter([batch])))
+    left, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert tokens == 1001 * n
+    assert peak < 100e6 and left < 10e6, (peak, left)
