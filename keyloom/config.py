@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Limits and defaults.
 MIN_PARTITION, MAX_DENSE_PARTITION = 1_000, 5_000
-MAX_BUCKET = 255
+MAX_BUCKET = 255  # of tables up to 4,096 slots; of larger ones see largest_bucket
 PILOT_LIMIT = 50_000_000
 SEED_ATTEMPTS = 10
 LAMBDA, ALPHA = 4.5, 0.98
@@ -72,6 +72,12 @@ def table_size(n: int, alpha: float, search: str) -> int:
     return m + 1 if search == "xor" and m & (m - 1) == 0 else m
 
 
+def largest_bucket(table: int) -> int:
+    """Keys a bucket may have. Buckets of "opt" grow with the root of the table (the first holds about twice the root);
+    four times the root still has a pilot, while all slots are free, within some thousands."""
+    return max(MAX_BUCKET, 4 * math.isqrt(table))
+
+
 def table_size_column(n: Column, alpha: float, search: str) -> Column:
     m = F.greatest(n, F.floor(n / F.lit(alpha)))
     return m + F.when(m.bitwiseAND(m - 1) == 0, 1).otherwise(0) if search == "xor" else m

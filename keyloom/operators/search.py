@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..config import MAX_BUCKET, PILOT_LIMIT, BuildConfig, table_size
+from ..config import PILOT_LIMIT, BuildConfig, largest_bucket, table_size
 from ..functions.hashing import mix64_np, murmur64_np
 
 #: Rows of a search's result, by kind: a bucket's pilot, a taken slot, a failure.
@@ -98,7 +98,7 @@ def searched(bucket: np.ndarray, payload: np.ndarray, config: BuildConfig, seed:
     none = np.zeros(0, np.int64)
     if ((payload[1:] == payload[:-1]) & (bucket[1:] == bucket[:-1])).any():
         return EQUAL_PAYLOADS, none, none, taken
-    if sizes.max() > MAX_BUCKET:
+    if sizes.max() > largest_bucket(len(taken)):
         return LARGE_BUCKET, none, none, taken
     ids = bucket[starts]
     pilots, cache = np.zeros(len(ids), np.int64), Pilots(seed)

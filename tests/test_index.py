@@ -157,3 +157,18 @@ def test_bits(spark, keys):
     sizes = {r.component: r.bits_per_key for r in made.bits().collect()}
     assert set(sizes) == {"pilots", "free_slots", "offsets"} and 1 < sizes["pilots"] < 5
     assert search.SCHEMA.startswith("partition_id")
+
+
+def test_first_bucket_of_opt_grows_with_the_table(spark):
+    """Over 255 keys in the first bucket, which the limit of small tables refused."""
+    rows = spark.range(40_000).select(F.format_string("Customer#%09d", "id").alias("key"))
+    made = ix.build_single(rows, "key", BuildConfig(seed=1234, hasher="xx", bucketer="opt"))
+    sizes = stages.bucket_sizes(stages.bucketed(stages.hashed_keys(rows, "key", "xx", 1234).withColumn("partition_id", F.lit(0)), "opt", made.num_buckets, made.config.lam, made.config.alpha))
+    assert sizes.agg(F.max("size")).first()[0] > 255 and made.is_perfect(rows, "key")
+
+
+def test_repeated_names_are_one_key(spark, tmp_path):
+    from keyloom.queries import lookup_string_keys
+
+    spark.range(900).select(F.concat(F.lit("name "), F.col("id") % 300).alias("c_name")).write.parquet(str(tmp_path / "customer.parquet"))
+    assert tuple(lookup_string_keys(spark, str(tmp_path)).first()) == (900, 300, 0, 299, 3 * 300 * 299 // 2)
