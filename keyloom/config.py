@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Limits and defaults.
 MIN_PARTITION, MAX_DENSE_PARTITION = 1_000, 5_000
 MAX_BUCKET = 255  # of tables up to 4,096 slots; of larger ones see largest_bucket
-PILOT_LIMIT = 50_000_000
+PILOT_LIMIT = 50_000_000  # tried for a bucket; those that additive search leaves out do not count
 SEED_ATTEMPTS = 10
 LAMBDA, ALPHA = 4.5, 0.98
 

@@ -26,22 +26,42 @@ def partition_table(spark: SparkSession, counts: DataFrame, partitions: int, con
     return sized.withColumn("two64_mod_m", modulus)
 
 
+def words(taken: DataFrame) -> DataFrame:
+    """partition_id, i, word: 64 slots each, taken ones (partition_id, pos) as bits; words without any are left out."""
+    bit = F.expr("shiftleft(1L, cast(pos % 64 as int))")
+    return taken.groupBy("partition_id", F.expr("pos div 64").alias("i")).agg(F.bit_or(bit).alias("word"))
+
+
+def taken_slots(words: DataFrame) -> DataFrame:
+    """partition_id, pos of the bits of words."""
+    return words.select("partition_id", F.explode(F.expr("filter(sequence(i * 64, i * 64 + 63), p -> getbit(word, cast(p % 64 as int)) = 1)")).alias("pos"))
+
+
 def free_slots(taken: DataFrame, partitions: DataFrame) -> DataFrame:
+    """free_slots_of of taken slots (partition_id, pos)."""
+    return free_slots_of(words(taken), partitions)
+
+
+def free_slots_of(words: DataFrame, partitions: DataFrame) -> DataFrame:
     """partition_id, rank, slot for each partition's slots from num_keys on, rank counting from there.
 
     A used slot gets the next hole below num_keys; an unused one what the next used slot gets, or the last did (0 if
-    none did), so that the slots do not fall.
+    none did), so that the slots do not fall. Only holes and the slots from num_keys on become rows; the windows sort
+    those of a partition and add up from the first, once.
     """
     sized = partitions.where("num_keys > 0").select("partition_id", "num_keys", "table_size")
-    every = sized.select("partition_id", "num_keys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("table_size") - 1)).alias("pos"))
-    marked = every.join(taken.select("partition_id", "pos", F.lit(True).alias("used")), ["partition_id", "pos"], "left")
+    every = sized.select("*", F.explode(F.expr("sequence(0L, (table_size - 1) div 64)")).alias("i"))
+    every = every.join(words.select("partition_id", "i", "word"), ["partition_id", "i"], "left").withColumn("word", F.coalesce("word", F.lit(0).cast("long")))
+    wanted = F.expr("filter(sequence(i * 64, least(i * 64 + 63, table_size - 1)), p -> p >= num_keys OR getbit(word, cast(p % 64 as int)) = 0)")
+    marked = every.select("partition_id", "num_keys", "word", F.explode(wanted).alias("pos"))
+    marked = marked.select("partition_id", "num_keys", "pos", F.expr("cast(getbit(word, cast(pos % 64 as int)) as long)").alias("used"))
     by_pos = Window.partitionBy("partition_id").orderBy("pos")
-    holes = marked.where(F.col("used").isNull() & (F.col("pos") < F.col("num_keys"))).select("partition_id", F.row_number().over(by_pos).alias("nth"), F.col("pos").alias("slot"))
-    above = marked.where(F.col("pos") >= F.col("num_keys")).withColumn("nth", F.when(F.col("used"), F.sum(F.when(F.col("used"), 1)).over(by_pos)))
-    above = above.join(holes, ["partition_id", "nth"], "left")
-    following = F.first("slot", ignorenulls=True).over(by_pos.rowsBetween(0, Window.unboundedFollowing))
-    preceding = F.last("slot", ignorenulls=True).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
-    return above.select("partition_id", (F.col("pos") - F.col("num_keys")).alias("rank"), F.coalesce(following, preceding, F.lit(0).cast("long")).alias("slot"))
+    holes = marked.where("pos < num_keys").select("partition_id", F.row_number().over(by_pos).cast("long").alias("nth"), F.col("pos").alias("slot"))
+    # The nth used slot takes the nth hole; an unused one that of the next used, the last ones that of the last used.
+    upto, all_ = by_pos.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("partition_id")
+    above = marked.where("pos >= num_keys").withColumns({"upto": F.sum("used").over(upto), "all": F.sum("used").over(all_)})
+    above = above.select("partition_id", (F.col("pos") - F.col("num_keys")).alias("rank"), F.least(F.col("upto") + 1 - F.col("used"), "all").alias("nth"))
+    return above.join(holes, ["partition_id", "nth"], "left").select("partition_id", "rank", F.coalesce("slot", F.lit(0).cast("long")).alias("slot"))
 
 
 def dense_free_slots(taken: DataFrame, partitions: DataFrame, n: int) -> DataFrame:

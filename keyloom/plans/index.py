@@ -178,14 +178,15 @@ def build_from_hashes(hashed: DataFrame, config: BuildConfig, kind: str, seed: i
     with wrapping(spark):
         placed = stages.partitioned(hashed, parts) if kind != "single" else hashed.withColumn("partition_id", F.lit(0).cast("long"))
         pairs = stages.bucketed(placed, config.bucketer, buckets, config.lam, config.alpha)
-    found = S.search(pairs, config, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    found = (S.search_single(pairs, config, seed, n) if kind == "single" else S.search(pairs, config, seed)).persist(StorageLevel.MEMORY_AND_DISK)
     failed = found.where(F.col("kind") == S.FAILED).select("bucket").limit(1).collect()
     if failed:
         found.unpersist()
         raise SeedError(REASONS[failed[0][0]])
     timings.searching, began = time.time() - began, time.time()
     pilots = found.where(F.col("kind") == S.PILOT).select("partition_id", "bucket", "pilot", "hashed_pilot")
-    taken = found.where(F.col("kind") == S.TAKEN).select("partition_id", "pos")
+    words = found.where(F.col("kind") == S.TAKEN).select("partition_id", F.col("pos").alias("i"), "word")
+    taken = slots.taken_slots(words)
     counts = found.groupBy("partition_id").agg(F.max("num_keys").alias("num_keys"))
     partitions = slots.partition_table(spark, counts, parts, config).persist()
     free = None
@@ -193,7 +194,7 @@ def build_from_hashes(hashed: DataFrame, config: BuildConfig, kind: str, seed: i
         if kind == "dense":
             free = slots.dense_free_slots(taken, partitions, n).withColumn("partition_id", F.lit(0).cast("long"))
         else:
-            free = slots.free_slots(taken, partitions)
+            free = slots.free_slots_of(words, partitions)
         free = free.persist()
     total = partitions.agg(F.sum("table_size")).first()[0]
     timings.remapping = time.time() - began
@@ -216,7 +217,7 @@ def _build(keys: DataFrame, column: str, config: BuildConfig, kind: str) -> Inde
 
 
 def build_single(keys: DataFrame, column: str, config: BuildConfig | None = None) -> Index:
-    """One function for all keys, searched in one task: for up to about ten million keys."""
+    """One function for all keys, searched in one task that holds five bytes for a slot and a part of the keys."""
     return _build(keys, column, replace(config or BuildConfig(), avg_partition=0, dense=False), "single")
 
 

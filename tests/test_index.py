@@ -2,6 +2,8 @@
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,54 @@ def test_repeated_names_are_one_key(spark, tmp_path):
 
     spark.range(900).select(F.concat(F.lit("name "), F.col("id") % 300).alias("c_name")).write.parquet(str(tmp_path / "customer.parquet"))
     assert tuple(lookup_string_keys(spark, str(tmp_path)).first()) == (900, 300, 0, 299, 3 * 300 * 299 // 2)
+
+
+@pytest.mark.parametrize("find", ["xor", "add"])
+def test_windows_of_buckets_give_the_same_pilots(monkeypatch, find):
+    """Many buckets at a time against one after another, both orders of equal sizes."""
+    r = np.random.default_rng(3)
+    bucket, payload = (r.random(40_000) ** 1.5 * 9_000).astype(np.int64), r.integers(0, 1 << 63, 40_000).astype(np.uint64) * np.uint64(2)
+    for second in (False, True):
+        config = BuildConfig(search=find, secondary_sort=second)
+        many = search.searched(bucket, payload, config, 17)
+        with monkeypatch.context() as patch:
+            patch.setattr(search, "MANY_KEYS", 1 << 40)
+            patch.setattr(search, "Window", None)
+            one = search.searched(bucket, payload, config, 17)
+        assert many[0] == one[0] == 0 and all((a == b).all() for a, b in zip(many[1:], one[1:], strict=True))
+        assert many[3].sum() == 40_000
+
+
+def test_pilots_left_out_do_not_count():
+    """Keys that coincide for all pilots below the table's size, which is beyond the limit of pilots tried."""
+    own = np.array([[1259904246501411638, 16227464369011521700]], np.uint64)
+    assert search.Window(40, "add", 1, limit=20)(own).tolist() == [40]
+    full = search.Window(40, "xor", 1, limit=20)
+    full.taken[:] = True
+    assert full(own) is None
+
+
+def test_single_search_reads_parts_and_fails_at_once(spark, keys):
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 10_000)), pa.array([[1, 2]] * 10_000)], ["bucket", "payloads"]) for i in range(0, 400_000, 10_000)]
+    read = [(len(ids), len(payloads)) for ids, _, payloads in search._read(iter(batches))]
+    assert sum(n for n, _ in read) == 400_000 and max(n for n, _ in read) < search.BUCKETS_READ + 10_000 and all(2 * n == m for n, m in read)
+    with pytest.raises(SeedError, match="equal payloads"):
+        ix.build_single(keys.unionByName(keys.limit(1)), "key", BuildConfig(seed=1))
+    plan = ix.build_single(keys, "key", BuildConfig(seed=1, secondary_sort=True)).pilots._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_free_slots_of_a_large_table(spark):
+    """Against numpy; no frame from a row to the end, which takes time by the square, and no row for every slot."""
+    r = np.random.default_rng(8)
+    n, m = 50_000, 70_001
+    taken = np.sort(r.permutation(m)[:n])
+    used = np.isin(np.arange(m), taken)
+    holes, last = np.flatnonzero(~used[:n]), used[n:].sum()
+    want = holes[np.minimum(np.cumsum(used[n:]) - used[n:], last - 1)]
+    table = spark.createDataFrame([(0, n, m, 0)], "partition_id long, num_keys long, table_size long, offset long")
+    words = spark.createDataFrame([(0, i, w) for i, w in enumerate(search.words_of(used).tolist())], "partition_id long, i long, word long")
+    assert slots.taken_slots(words).count() == n
+    for got in (slots.free_slots_of(words, table), slots.free_slots(slots.taken_slots(words), table)):
+        assert "currentrow$(), unboundedfollowing" not in got._jdf.queryExecution().toString()
+        assert [x.slot for x in got.orderBy("rank").collect()] == want.tolist()
