@@ -59,3 +59,55 @@ def test_dedup_and_odd_rows(spark, monkeypatch):
     want = [(1, "a b c\n\nd e", 10), (2, "new", 3), (4, None, 0), (5, "", 0), (6, " \n", 2), (7, "own", 3), (7, "own", 3)]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert line_dedup.report(df.limit(0)).count() == 0
+
+
+def test_numbers_shared_exchange_and_plain_aggregates(spark, monkeypatch):
+    """Documents are numbered without gaps over several partitions; the first lines of sets are found without sorting
+    (before, SortAggregate of a struct), and both sides of the candidate join read one exchange."""
+    plans, save = {}, line_dedup.Scratch.save
+
+    def kept(self, df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name, **options)
+
+    monkeypatch.setattr(line_dedup.Scratch, "save", kept)
+    data = [(i % 40 if i % 7 else None, f"line {i % 9} of the text\nand {i} again") for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get(line_dedup.MAP_BITS[0])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scratch = line_dedup.Scratch(spark, "numbers")
+        names = line_dedup._names(line_dedup._tokens(docs, scratch), scratch).orderBy("d").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+    assert [x.d for x in names] == list(range(len(set(data))))
+    in_order = [(x.doc_id is None, x.doc_id or 0, x.text_hash) for x in names]
+    assert in_order == sorted(in_order)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line_dedup.removed_lines(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert spark.conf.get(line_dedup.MAP_BITS[0]) == before[1]
+    assert "SortAggregate" not in plans["firsts"]
+    plain = re.sub(r"#\d+L?|plan_id=\d+|[:|+\s-]", "", plans["met-0"])
+    sides = [x.split("Sort[")[0] for x in plain.split("Exchangehashpartitioning(word")[1:]]
+    assert len(sides) == 2
+    assert sides[0] == sides[1]
+
+
+def test_lengths_and_order(spark, monkeypatch):
+    """Similar lines of unlike length, the shorter one before or after the other, with and without a match before."""
+    monkeypatch.setattr(line_dedup, "FAMILY", 3)
+    r = random.Random(5)
+    docs = []
+    for i in range(150):
+        own = [f"g{i % 12}x{j}" for j in range(r.choice([6, 7, 13, 20, 40]))]
+        n = len(own)
+        keep = r.sample(own, n - r.randint(0, max(1, n // 6)))
+        docs.append((i, " ".join(keep + [f"own{i}x{j}" for j in range(r.randint(0, 2))])))
+    want = brute(docs)
+    got = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert 20 < len(want) < 140
+    assert {x.doc_id: x.removed for x in got if x.n_removed} == {d: ",".join(map(str, v)) for d, v in want.items()}
